@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op9_quality
+from . import op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
+#: Folder of the public tokenizer files; never copied here.
+TOKENIZERS = os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = op8_wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = op10_packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_rules,)}
+    return {f.__name__: f for f in (op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
 
 
 def oracle_sql() -> dict[str, str]:
