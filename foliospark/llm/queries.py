@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op8_wordbpe, op9_quality, op10_packing
+from . import op1_vafile, op5_langid, op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
 #: Folder of the public tokenizer files; never copied here.
@@ -19,6 +19,14 @@ def tokenizer(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_vafile_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op5_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = op8_wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -34,7 +42,7 @@ def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
+    return {f.__name__: f for f in (op1_vafile_top_k, op5_hyperdimensional_langid, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
 
 
 def oracle_sql() -> dict[str, str]:
