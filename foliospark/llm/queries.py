@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_vafile, op5_langid, op8_wordbpe, op9_quality, op10_packing
+from . import op1_vafile, op4_minhash, op5_langid, op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
 #: Folder of the public tokenizer files; never copied here.
@@ -23,6 +23,10 @@ def op1_vafile_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_top_k, op5_hyperdimensional_langid, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
+    return {f.__name__: f for f in (op1_vafile_top_k, op4_probminhash_near_dedup, op5_hyperdimensional_langid, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
 
 
 def oracle_sql() -> dict[str, str]:
