@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_vafile, op4_minhash, op5_langid, op7_repeats, op8_wordbpe, op9_quality, op10_packing
+from . import op1_vafile, op4_minhash, op5_langid, op6_html, op7_repeats, op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
 #: Folder of the public tokenizer files; never copied here.
@@ -31,6 +31,10 @@ def op5_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_repeats.digests(op7_repeats.repeats(table(spark, sf_dir, "documents")))
 
@@ -50,7 +54,7 @@ def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_top_k, op4_probminhash_near_dedup, op5_hyperdimensional_langid, op7_run_length_repeats, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
+    return {f.__name__: f for f in (op1_vafile_top_k, op4_probminhash_near_dedup, op5_hyperdimensional_langid, op6_crf_main_text, op7_run_length_repeats, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
 
 
 def oracle_sql() -> dict[str, str]:
