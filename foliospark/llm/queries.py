@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_vafile, op4_minhash, op5_langid, op6_html, op7_repeats, op8_wordbpe, op9_quality, op10_packing
+from . import op1_vafile, op2_tokens, op3_licenses, op4_minhash, op5_langid, op6_html, op7_repeats, op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
 #: Folder of the public tokenizer files; never copied here.
 TOKENIZERS = os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers")
 
+# The pattern that splits text before the merges of the rank files, and their free id.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+END_OF_TEXT = 50256
+
 
 def tokenizer(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
@@ -23,6 +27,14 @@ def op1_vafile_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op2_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), PATTERN, END_OF_TEXT)
+
+
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -54,8 +66,8 @@ def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_top_k, op4_probminhash_near_dedup, op5_hyperdimensional_langid, op6_crf_main_text, op7_run_length_repeats, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
+    return {f.__name__: f for f in (op1_vafile_top_k, op2_separator_token_counts, op3_license_rules, op4_probminhash_near_dedup, op5_hyperdimensional_langid, op6_crf_main_text, op7_run_length_repeats, op8_bpe_encode_decode, op9_quality_rules, op10_packing_cost)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_rules": op3_licenses.oracle()}
