@@ -31,7 +31,7 @@ SLOTS = 256
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: Letters are told apart by their code point modulo this number; trigram codes stay below its cube.
-LETTERS = 509
+LETTERS = 257
 CHUNK = 1 << 20
 
 
@@ -55,13 +55,13 @@ class Profiler:
 
     def __init__(self) -> None:
         self.codes, self.letters = letter_codes(), letter_vectors()
-        self.row = np.full(LETTERS**3, -1, np.int32) if LETTERS**3 < 1 << 28 else None
+        self.row = np.full(LETTERS**3, -1, np.int32)
         self.book, self.n = np.empty((1 << 12, DIMENSIONS), np.float32), 0
 
     def vectors(self, trigrams: np.ndarray) -> np.ndarray:
         """The rows of the book for these codes, which are bound when first met."""
         new = trigrams[self.row[trigrams] < 0]
-        if self.n + len(new) > 1 << 15:  # the book stays below 128 MB
+        if self.n + len(new) > 1 << 14:  # the book stays below 64 MB
             self.row[:], self.n, new = -1, 0, trigrams
         if len(new):
             while self.n + len(new) > len(self.book):
@@ -102,9 +102,9 @@ class Profiler:
                 tri, owner = self.trigrams(part)
                 if len(tri):
                     distinct, which = np.unique(tri, return_inverse=True)
-                    for k in range(0, len(distinct), 1 << 14):
-                        some = slice(k, k + (1 << 14))
-                        here = (which >= k) & (which < k + (1 << 14))
+                    for k in range(0, len(distinct), 1 << 12):
+                        some = slice(k, k + (1 << 12))
+                        here = (which >= k) & (which < k + (1 << 12))
                         width = len(distinct[some])
                         counts = np.bincount(owner[here] * width + which[here] - k, minlength=len(part) * width).reshape(len(part), width).astype(np.float32)
                         rows = self.vectors(distinct[some])
