@@ -8,7 +8,7 @@ answers for itself, and the answers of all blocks are merged.
 Queries meet the vectors in blocks: every block of queries is sent to every group of vector blocks, once, by an
 equality join on the group's number. The results that are merged are k rows for each query and group.
 
-Defined cases: null vectors, and vectors with null or non-finite components, take no part; empty vectors neither;
+Defined cases: null ids and vectors, and vectors with null or non-finite components, take no part; empty vectors neither;
 only vectors of the same length are compared; a query is never its own candidate, and rows of one id count as
 one another's own; ties go to the smaller id, repeated rows are ranked each; an empty table gives no rows; extra
 columns of the input are ignored. Components up to 2 ** 24 in absolute value after scaling keep all sums exact.
@@ -36,7 +36,7 @@ STEP = 64
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v: floor(scale * x) of vectors whose components are all present and finite."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.where(whole).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 

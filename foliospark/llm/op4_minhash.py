@@ -212,3 +212,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     out = out.union(signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     out = out.union(docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_copy"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that name their class; rows of one doc_id are one document, null ids all stay."""
+    named = classes(docs, threshold).where(~F.col("is_copy") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(named, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))

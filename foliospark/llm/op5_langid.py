@@ -30,6 +30,8 @@ DIMENSIONS = 1024
 SLOTS = 256
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: accepted() rejects documents of a lower cosine; those without any language profile are far below it.
+MIN_SCORE = 0.1
 #: Letters are told apart by their code point modulo this number; trigram codes stay below its cube.
 LETTERS = 257
 CHUNK = 1 << 20
@@ -159,30 +161,50 @@ def train(docs: DataFrame, trainable: Column) -> tuple[list[str], np.ndarray, np
     return names, _unit(units - mean).astype(np.float32), mean.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score: the greatest cosine (0 to 1), margin: how far the next language is."""
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """For each text the language, the greatest cosine (0 to 1), and how far the next language is."""
     names, prototypes, mean = model
+    v = profiler().bundles([t or "" for t in texts])
+    found = v.any(axis=1) & bool(names)
+    if not names:
+        return [UNKNOWN] * len(v), np.zeros(len(v)), np.zeros(len(v))
+    cos = _unit(_unit(v) - mean) @ prototypes.T
+    each, best = np.arange(len(cos)), cos.argmax(1)
+    top = cos[each, best]
+    rest = cos.copy()
+    rest[each, best] = -1
+    label = [names[i] if ok else UNKNOWN for i, ok in zip(best, found)]
+    return label, np.where(found, np.clip(top, 0, 1), 0).astype(float), np.where(found, np.clip(top - rest.max(1, initial=-1), 0, 2), 0).astype(float)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, margin of every document."""
     schema = "doc_id long, lang_pred string, score double, margin double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = profiler().bundles([t or "" for t in b.column(1).to_pylist()])
-            found = v.any(axis=1) & bool(names)
-            if names:
-                cos = _unit(_unit(v) - mean) @ prototypes.T
-                best = cos.argmax(1)
-                top = cos[np.arange(len(cos)), best]
-                rest = cos.copy()
-                rest[np.arange(len(cos)), best] = -1
-                score, margin = np.where(found, np.clip(top, 0, 1), 0), np.where(found, np.clip(top - rest.max(1), 0, 2), 0)
-            else:
-                best, score, margin = np.zeros(len(v), int), np.zeros(len(v)), np.zeros(len(v))
-            label = [names[i] if ok else UNKNOWN for i, ok in zip(best, found)]
-            yield pa.record_batch([b.column(0), pa.array(label, pa.string()), pa.array(score.astype(np.float64)), pa.array(margin.astype(np.float64))], ["doc_id", "lang_pred", "score", "margin"])
+            label, score, margin = judge(b.column(1).to_pylist(), model)
+            yield pa.record_batch([b.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents, all columns, whose language is known with at least MIN_SCORE; they are not shuffled."""
+    model = model or train(docs, F.lit(True))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, score, _ = judge(b.column(at).to_pylist(), model)
+            yield b.filter(pa.array([x != UNKNOWN and y >= MIN_SCORE for x, y in zip(label, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

@@ -17,9 +17,9 @@ Nothing is sampled or capped. Equality of runs in steps 1 and 2, and of windows
 hashes.
 
 Defined cases: null and empty texts have no bytes; texts shorter than LENGTH keep all; of equal strings the one of the
-smaller doc_id, then the earlier start stays; rows with a null doc_id come after all others; rows that repeat a
-doc_id are told apart only by their text's hash, equal rows losing all but one copy; an empty table gives no rows;
-extra columns of the input are ignored.
+smaller doc_id, then the earlier start stays; rows with a null doc_id take no part and lose nothing; rows that repeat
+a doc_id and its text count as one document, so neither is earlier than the other; an empty table gives no rows; extra
+columns pass through repeats() and without_repeats().
 """
 
 from __future__ import annotations
@@ -90,9 +90,10 @@ def first_of_equal(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each class of equal runs, in order of k, h; and the others."""
     order = np.lexsort((runs["start"], runs["doc"], runs["h"], runs["k"]))
     runs = runs[order]
-    new = np.ones(len(runs), bool)
+    new, other = np.ones(len(runs), bool), np.ones(len(runs), bool)
     new[1:] = (runs["k"][1:] != runs["k"][:-1]) | (runs["h"][1:] != runs["h"][:-1])
-    return runs[new], runs[~new]
+    other[1:] = new[1:] | (runs["doc"][1:] != runs["doc"][:-1]) | (runs["start"][1:] != runs["start"][:-1])
+    return runs[new], runs[~new & other]
 
 
 def spans_of(runs: np.ndarray, length: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         cut()
         yield flush()
 
-    return docs.select("doc", "text").mapInArrow(run, SCHEMA)
+    return docs.select("__doc", "text").mapInArrow(run, SCHEMA)
 
 
 def meet(runs: DataFrame, length: int) -> DataFrame:
@@ -239,7 +240,7 @@ def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
             return _batch(rows)
 
         for b in batches:
-            for key, text, spans in zip(*(c.to_pylist() for c in b.columns)):
+            for key, text, spans in zip(*(b.column(i).to_pylist() for i in (0, 1, b.num_columns - 1))):
                 if not spans:
                     continue
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -262,7 +263,7 @@ def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
                         size = 0
         yield flush()
 
-    return asked.select("doc", "text", "spans").mapInArrow(run, SCHEMA)
+    return asked.mapInArrow(run, SCHEMA)
 
 
 def index_strings(strings: DataFrame, length: int) -> DataFrame:
@@ -330,19 +331,55 @@ def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text and removed: the stretches (start, end), in bytes and in order, that earlier strings cover."""
+    """The documents and, in __spans, the stretches (start, size; in bytes) that earlier strings cover."""
     spark = docs.sparkSession
     volume = text_bytes(docs)
     n = parts_for(spark, volume, PART_BYTES)
     buckets = n * BUCKETS_PER_PART
-    places = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    plain = materialize(meet(runs_of(places, buckets, length).repartition(n, "bucket"), length), "repeat-runs")
-    by_doc = lambda df, *cols: df.groupBy("doc").agg(F.collect_list(F.struct("start", "size", *cols)).alias("spans"))
-    placed = places.repartition(n, "doc")
-    asked = placed.join(by_doc(plain.where(F.col("kind") != REPEAT), "kind", "k"), "doc", "left")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    places = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", *rest)
+    plain = materialize(meet(runs_of(places.where("__doc is not null"), buckets, length).repartition(n, "bucket"), length), "repeat-runs")
+    by_doc = lambda df, *cols: df.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "size", *cols)).alias("__spans"))
+    placed = places.repartition(n, "__doc")
+    asked = placed.join(by_doc(plain.where(F.col("kind") != REPEAT), "kind", "k"), "__doc", "left")
     strings = strings_of(asked, buckets, length).repartition(n, "bucket")
     found = index_strings(strings, length).union(plain.where(F.col("kind") == REPEAT).select("doc", "start", "size"))
-    return placed.join(by_doc(found), "doc", "left").select(F.col("doc").alias("doc_id"), "text", "spans")
+    return placed.join(by_doc(found), "__doc", "left").withColumnRenamed("__doc", "doc_id")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, all columns, without their repeated stretches; texts that lose all are dropped.
+
+    Stretches shrink to whole UTF-8 characters; n_chars, if there, follows the text.
+    """
+    found = repeats(docs, length)
+    at = found.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if spans and text:
+                    raw, parts, last = text.encode("utf-8", "surrogatepass"), [], 0
+                    for x, y in merged(spans, len(raw)):
+                        while x < y and raw[x] & 0xC0 == 0x80:
+                            x += 1
+                        while x < y < len(raw) and raw[y] & 0xC0 == 0x80:
+                            y -= 1
+                        parts.append(raw[last:x])
+                        last = y
+                    text = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
+                    keep.append(bool(text))
+                else:
+                    keep.append(True)
+                texts.append(text)
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
+            yield pa.record_batch(columns, b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    out = found.mapInArrow(run, found.drop("__spans").schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -363,4 +400,4 @@ def digests(found: DataFrame) -> DataFrame:
             n, removed, count, digest = zip(*rows) if rows else ((),) * 4
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.mapInArrow(run, schema)
+    return found.select("doc_id", "text", "__spans").mapInArrow(run, schema)

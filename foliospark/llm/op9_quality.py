@@ -12,7 +12,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -27,6 +27,7 @@ COMMON_WORDS = {
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+FEATURES = "__features"
 CLASSES = ("lower", "upper", "accented", "space", "digit", "stop", "symbol", "other")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -45,8 +46,8 @@ def _dropped(name: str, pattern: str) -> str:
     return f"regexp_replace({name}, '{pattern}', '')"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, the character-class histogram and the common-word histogram."""
+def feature_column() -> Column:
+    """A struct over `text`: the base counts, the character-class histogram and the common-word histogram."""
     repeat = _let(
         "sort_array(transform(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2)),"
         " (x, i) -> struct(xxhash64(x['0'], x['1'], x['2']) as h, i as i)))",
@@ -80,10 +81,13 @@ def features(docs: DataFrame) -> DataFrame:
     for name, of, pattern in reversed(chain):
         chars = _let(_dropped(of, pattern), name, chars)
     words = words.replace(SPACE, SPACE.replace("\\", "\\\\"))
-    return (
-        docs.select("doc_id", "lang", F.expr(f"element_at(transform(array(coalesce(text, '')), t -> struct({words} as w, {lines} as n_dup_lines, {chars} as c)), 1)").alias("f"))
-        .select("doc_id", "lang", "f.w.n_words", "f.w.word_chars", "f.c.n_symbols", "f.n_dup_lines", "f.w.n_repeat_words", "f.c.char_hist", "f.w.word_hist")
-    )
+    whole = F.expr(f"element_at(transform(array(coalesce(text, '')), t -> struct({words} as w, {lines} as n_dup_lines, {chars} as c)), 1)")
+    return whole
+
+
+def with_features(docs: DataFrame) -> DataFrame:
+    """The documents and their features in the column FEATURES."""
+    return docs.withColumn(FEATURES, feature_column())
 
 
 def references(found: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -91,9 +95,10 @@ def references(found: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
 
     At most one row for each language of that fixed table comes to the driver.
     """
-    sums = [F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(len(WORDS))]
-    sums.append(F.sum("n_words").alias("words"))
+    char, word = F.col(f"{FEATURES}.c.char_hist"), F.col(f"{FEATURES}.w.word_hist")
+    sums = [F.sum(char[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    sums += [F.sum(word[i]).alias(f"w{i}") for i in range(len(WORDS))]
+    sums.append(F.sum(f"{FEATURES}.w.n_words").alias("words"))
     out = {}
     for r in found.where(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(*sums).collect():
         chars, words = [r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(len(WORDS))]
@@ -112,20 +117,30 @@ def _js(doc: str, refs: list[list[float]]) -> str:
     return one[0] if len(one) == 1 else f"least({', '.join(one)})"
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts, distances to the nearest references, verdicts."""
-    found = materialize(features(docs), "quality-features")
+def judged(found: DataFrame) -> Column:
+    """A struct of counts, distances and verdicts over FEATURES, against the references of these documents."""
     refs = references(found)
     order = sorted(refs)
-    char_js = _let("transform(char_hist, x -> x / cast(greatest(1, aggregate(char_hist, 0, (s, y) -> s + y)) as double))", "p", _js("p", [refs[k][0] for k in order]))
+    char_js = _let("transform(ch, x -> x / cast(greatest(1, aggregate(ch, 0, (s, y) -> s + y)) as double))", "p", _js("p", [refs[k][0] for k in order]))
     word_js = _let(
-        "transform(concat(word_hist, array(cast(n_words as int) - aggregate(word_hist, 0, (s, y) -> s + y))), x -> x / cast(greatest(1, n_words) as double))",
-        "p", _js("p", [refs[k][1] for k in order]),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    near = (F.col("n_words") < MIN_WORDS_FOR_CHARS) | F.coalesce(F.col("char_js") <= MAX_CHAR_DISTANCE, F.lit(True))
-    usual = (F.col("n_words") < MIN_WORDS_FOR_WORDS) | F.coalesce(F.col("word_js") <= MAX_WORD_DISTANCE, F.lit(True))
-    return (
-        found.withColumns({"char_js": F.expr(char_js), "word_js": F.expr(word_js)})
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near & usual).alias("kept"), "char_js", "word_js")
+        "transform(concat(wh, array(cast(n as int) - aggregate(wh, 0, (s, y) -> s + y))), x -> x / cast(greatest(1, n) as double))", "p", _js("p", [refs[k][1] for k in order])
     )
+    base = f"(n < {MIN_WORDS} or 100 * rep > {MAX_REPEAT_PERCENT} * n)"
+    near = f"(n < {MIN_WORDS_FOR_CHARS} or coalesce(cj <= {MAX_CHAR_DISTANCE}D, true))"
+    usual = f"(n < {MIN_WORDS_FOR_WORDS} or coalesce(wj <= {MAX_WORD_DISTANCE}D, true))"
+    out = f"struct(n as n_words, f.w.word_chars, f.c.n_symbols, f.n_dup_lines, rep as n_repeat_words, {base} as base_failed, not {base} and {near} and {usual} as kept, cj as char_js, wj as word_js)"
+    for value, name in reversed([(FEATURES, "f"), ("f.w.n_words", "n"), ("f.w.n_repeat_words", "rep"), ("f.c.char_hist", "ch"), ("f.w.word_hist", "wh"), (char_js, "cj"), (word_js, "wj")]):
+        out = _let(value, name, out)
+    return F.expr(out)
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """One row per document: base counts, distances to the nearest references, verdicts."""
+    found = materialize(with_features(docs.select("doc_id", "lang", "text")).drop("text"), "quality-features")
+    return found.select("doc_id", judged(found).alias("j")).select("doc_id", "j.*")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that the rules keep. They are written once with their features, not shuffled."""
+    found = materialize(with_features(docs), "quality-documents")
+    return found.where(judged(found)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
