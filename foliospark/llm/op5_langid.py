@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .op8_wordbpe import runs
+
 
 DIMENSIONS = 1024
 SLOTS = 256
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
-#: accepted() rejects documents of a lower cosine; those without any language profile are far below it.
-MIN_SCORE = 0.1
+#: accepted() rejects documents whose cosine with their language's whole prototype is lower.
+MIN_LIKENESS = 0.2
 #: Letters are told apart by their code point modulo this number; trigram codes stay below its cube.
 LETTERS = 257
 CHUNK = 1 << 20
+Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
 def letter_codes() -> np.ndarray:
@@ -99,8 +102,8 @@ class Profiler:
             while j < len(texts) and j - i < 256 and (size == 0 or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            for at in range(0, max(1, size if j == i + 1 else 1), CHUNK):  # a longer text goes in parts that share two characters
-                part = [texts[i][max(0, at - 2) : at + CHUNK]] if j == i + 1 else texts[i:j]
+            # a longer text goes in runs cut at white space, which no trigram crosses
+            for part in ([[run] for run in runs(texts[i], CHUNK)] if j == i + 1 else [texts[i:j]]):
                 tri, owner = self.trigrams(part)
                 if len(tri):
                     distinct, which = np.unique(tri, return_inverse=True)
@@ -129,8 +132,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def train(docs: DataFrame, trainable: Column) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, their prototypes, and the mean that every vector is taken less of."""
+def train(docs: DataFrame, trainable: Column) -> Model:
+    """Languages in order, their prototypes less the mean, the mean, and the whole prototypes."""
     slot = F.xxhash64("doc_id")
     picked = (
         docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -140,7 +143,7 @@ def train(docs: DataFrame, trainable: Column) -> tuple[list[str], np.ndarray, np
     names = [r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     ids = [r["d"] for r in picked.where(F.col("lang").isin(*names)).select("m.d").collect()] if names else []
     if not ids:
-        return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32)
+        return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32)
     schema = "lang string, v binary"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +161,25 @@ def train(docs: DataFrame, trainable: Column) -> tuple[list[str], np.ndarray, np
     names = sorted(total)
     units = _unit(np.stack([total[k] for k in names]))
     mean = units.mean(0) if len(names) > 1 else np.zeros(DIMENSIONS)
-    return names, _unit(units - mean).astype(np.float32), mean.astype(np.float32)
-
-
-Model = tuple[list[str], np.ndarray, np.ndarray]
+    return names, _unit(units - mean).astype(np.float32), mean.astype(np.float32), units.astype(np.float32)
 
 
-def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """For each text the language, the greatest cosine (0 to 1), and how far the next language is."""
-    names, prototypes, mean = model
+def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the language, the greatest cosine (0 to 1), how far the next language is, and the cosine with the
+    language's whole prototype."""
+    names, prototypes, mean, whole = model
     v = profiler().bundles([t or "" for t in texts])
     found = v.any(axis=1) & bool(names)
     if not names:
-        return [UNKNOWN] * len(v), np.zeros(len(v)), np.zeros(len(v))
+        return [UNKNOWN] * len(v), np.zeros(len(v)), np.zeros(len(v)), np.zeros(len(v))
     cos = _unit(_unit(v) - mean) @ prototypes.T
     each, best = np.arange(len(cos)), cos.argmax(1)
     top = cos[each, best]
     rest = cos.copy()
     rest[each, best] = -1
     label = [names[i] if ok else UNKNOWN for i, ok in zip(best, found)]
-    return label, np.where(found, np.clip(top, 0, 1), 0).astype(float), np.where(found, np.clip(top - rest.max(1, initial=-1), 0, 2), 0).astype(float)
+    like = (_unit(v) * whole[best]).sum(1)
+    return label, np.where(found, np.clip(top, 0, 1), 0).astype(float), np.where(found, np.clip(top - rest.max(1, initial=-1), 0, 2), 0).astype(float), like
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -186,21 +188,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, score, margin = judge(b.column(1).to_pylist(), model)
+            label, score, margin, _ = judge(b.column(1).to_pylist(), model)
             yield pa.record_batch([b.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents, all columns, whose language is known with at least MIN_SCORE; they are not shuffled."""
+    """The documents, all columns, that are like a learned language; they are not shuffled."""
     model = model or train(docs, F.lit(True))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, score, _ = judge(b.column(at).to_pylist(), model)
-            yield b.filter(pa.array([x != UNKNOWN and y >= MIN_SCORE for x, y in zip(label, score)], pa.bool_()))
+            label, _, _, like = judge(b.column(at).to_pylist(), model)
+            yield b.filter(pa.array([x != UNKNOWN and y >= MIN_LIKENESS for x, y in zip(label, like)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

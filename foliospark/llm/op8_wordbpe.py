@@ -22,10 +22,10 @@ OUT_BYTES = 8 << 20
 GAP = re.compile("[ \t\n\r]")
 
 
-def runs(text: str) -> Iterator[str]:
-    """The text in runs of about RUN_CHARS characters, cut before white space."""
-    at = 0
-    while len(text) - at > RUN_CHARS and (cut := GAP.search(text, at + RUN_CHARS)):
+def runs(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in runs of about size (RUN_CHARS) characters, cut before white space."""
+    at, size = 0, size or RUN_CHARS
+    while len(text) - at > size and (cut := GAP.search(text, at + size)):
         yield text[at : cut.start()]
         at = cut.start()
     yield text[at:]
