@@ -42,7 +42,6 @@ HOT = 512
 FLUSH_BYTES = 16 << 20
 BATCH_BYTES = 2 << 20
 PART_BYTES = 16 << 20
-BUCKETS_PER_PART = 8
 INDEX_BYTES = 1 << 20
 REPEAT, RUNS, STRINGS, WINDOWS = 0, 1, 2, 3
 SCHEMA = "kind int, bucket long, n long, size long, blob binary"
@@ -133,9 +132,9 @@ def _by_bucket(kind: int, runs: np.ndarray, buckets: int, by: str) -> list[tuple
     return [_row(kind, int(bucket[a]), b - a, 0, runs[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(runs)])]
 
 
-def _repeats(runs: np.ndarray, length: int) -> list[tuple]:
+def _repeats(runs: np.ndarray, length: int, buckets: int) -> list[tuple]:
     spans = spans_of(runs, length)
-    return [_row(REPEAT, int(i), len(spans[i : i + 65536]), 0, spans[i : i + 65536].tobytes()) for i in range(0, len(spans), 65536)]
+    return [_row(REPEAT, int(spans["start"][i] + spans["doc"][i]) % buckets, len(spans[i : i + 65536]), 0, spans[i : i + 65536].tobytes()) for i in range(0, len(spans), 65536)]
 
 
 class _Texts:
@@ -170,7 +169,7 @@ def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             first, rest = first_of_equal(np.concatenate(held)) if held else (np.empty(0, RUN), np.empty(0, RUN))
             held.clear()
-            return _batch(_by_bucket(RUNS, first, buckets, "k") + _repeats(rest, length))
+            return _batch(_by_bucket(RUNS, first, buckets, "k") + _repeats(rest, length, buckets))
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -234,7 +233,7 @@ def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
                 rows.append(_row(STRINGS, bucket, len(head), 0, head.tobytes() + b"".join(raws)))
             if windows:
                 first, rest = first_of_equal(np.concatenate(windows))
-                rows += _by_bucket(WINDOWS, first, buckets, "h") + _repeats(rest, length)
+                rows += _by_bucket(WINDOWS, first, buckets, "h") + _repeats(rest, length, buckets)
             held.clear()
             windows.clear()
             return _batch(rows)
@@ -335,14 +334,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     volume = text_bytes(docs)
     n = parts_for(spark, volume, PART_BYTES)
-    buckets = n * BUCKETS_PER_PART
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     places = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", *rest)
-    plain = materialize(meet(runs_of(places.where("__doc is not null"), buckets, length).repartition(n, "bucket"), length), "repeat-runs")
+    plain = materialize(meet(runs_of(places.where("__doc is not null"), n, length).repartitionById(n, F.col("bucket").cast("int")), length), "repeat-runs")
     by_doc = lambda df, *cols: df.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "size", *cols)).alias("__spans"))
     placed = places.repartition(n, "__doc")
     asked = placed.join(by_doc(plain.where(F.col("kind") != REPEAT), "kind", "k"), "__doc", "left")
-    strings = strings_of(asked, buckets, length).repartition(n, "bucket")
+    strings = strings_of(asked, n, length).repartitionById(n, F.col("bucket").cast("int"))
     found = index_strings(strings, length).union(plain.where(F.col("kind") == REPEAT).select("doc", "start", "size"))
     return placed.join(by_doc(found), "__doc", "left").withColumnRenamed("__doc", "doc_id")
 
