@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import kernels
+from .operators import documents, kernels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in kernels.KERNELS.items()}
+    return {k: v[0] for k, v in kernels.KERNELS.items()} | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in kernels.KERNELS.items() if v[1]}
+    return {k: v[1] for k, v in kernels.KERNELS.items()} | documents.SQL

@@ -17,9 +17,13 @@ MAGIC = b"%PDF-"
 LARGEST_U32 = (1 << 32) - 1
 
 
-def is_own_output(name: str) -> bool:
-    """Names that earlier runs gave to outputs (a fixed form), with a number within 32 bits or without."""
-    m = re.search(r"\.squeezed(?:\.(\d+))?\.pdf\Z", name, re.I | re.ASCII)
+#: What stands before .pdf in the names of outputs.
+SUFFIX = "compressed"
+
+
+def is_own_output(name: str, suffix: str = SUFFIX) -> bool:
+    """NAME.SUFFIX.pdf or NAME.SUFFIX.N.pdf of an earlier run, N within 32 bits."""
+    m = re.search(rf"\.{re.escape(suffix)}(?:\.(\d+))?\.pdf\Z", name, re.I | re.ASCII)
     return bool(m) and (m[1] is None or int(m[1]) <= LARGEST_U32)
 
 
@@ -85,7 +89,7 @@ def read_files(spark: SparkSession, inputs: Iterable[str], recursive: bool = Fal
 
 def default_output(path: str) -> str:
     p = Path(path)
-    return str(p.with_name(f"{p.stem}.squeezed{p.suffix or '.pdf'}"))
+    return str(p.with_name(f"{p.stem}.{SUFFIX}{p.suffix or '.pdf'}"))
 
 
 def free_name(path: str, collision: str, reserved: set[str]) -> str:
