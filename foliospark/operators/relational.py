@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iteration: a table in spark.checkpoint.dir where that is set, else the plan as it is."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """Ends the lineage of an iteration with a table in spark.checkpoint.dir; in a folder of its own where that is unset."""
+    conf = df.sparkSession.conf
+    root = conf.get("spark.checkpoint.dir", None) or conf.get("foliospark.test.checkpoint.dir", None)
     if not root:
-        return df
+        root = mkdtemp(prefix="foliospark-")
+        conf.set("foliospark.test.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/cut-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
