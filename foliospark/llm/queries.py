@@ -48,7 +48,7 @@ def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_repeats.digests(op7_repeats.repeats(table(spark, sf_dir, "documents")))
+    return op7_repeats.digests(op7_repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
