@@ -144,3 +144,38 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that the rules keep. They are written once with their features, not shuffled."""
     found = materialize(with_features(docs), "quality-documents")
     return found.where(judged(found)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle() -> str:
+    """SQL for doc_id, the counts, the distances to six digits and the verdicts."""
+    quoted = ", ".join(f"'{w}'" for w in WORDS)
+    space = r"[\x20\x09-\x0D]"
+    last = "t"
+    lengths = ["length(t)"]
+    for pattern in (r"[a-z]+", r"[A-Z]+", r"[\p{L}\p{M}]+", f"{space}+", "[0-9]+", "[-.,;:!?()]+", f"[{SYMBOLS}]+"):
+        last = f"regexp_replace({last}, '{pattern}', '', 'g')"
+        lengths.append(f"length({last})")
+    hist = "[" + ", ".join(f"{a} - {b}" for a, b in zip(lengths, lengths[1:], strict=False)) + f", {lengths[-1]}]"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END + CASE WHEN {b} > 0 THEN {b} * log2(2 * {b} / ({a} + {b})) ELSE 0 END"
+    js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part('z[1]', 'z[2]')})) / 2))"
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    share = lambda c, n: f"list_transform({c}, lambda x: x / CAST(greatest(1, {n}) AS DOUBLE))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (SELECT r, i FROM g WHERE (r, gram) IN (SELECT (r, gram) FROM g GROUP BY r, gram HAVING count(*) > 1)),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) o(k) GROUP BY r),
+f AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(covered.n, 0) AS n_repeat_words, {hist} AS ch,
+  list_transform([{quoted}], lambda k: len(list_filter(w, lambda x: lower(x) = k))) AS wh FROM d LEFT JOIN covered ON covered.r = d.r),
+h AS (SELECT *, list_append(wh, n_words - list_sum(wh)) AS wa FROM f),
+ref AS (SELECT lang, {share('c', 'list_sum(c)')} AS c, {share('w', 'list_sum(w)')} AS w FROM (
+  SELECT lang, list(s ORDER BY i) FILTER (k = 0) AS c, list(s ORDER BY i) FILTER (k = 1) AS w FROM (
+    SELECT lang, 0 AS k, i, sum(ch[i]) AS s FROM h, range(1, {len(CLASSES) + 1}) x(i) WHERE lang IN ({langs}) GROUP BY lang, i
+    UNION ALL SELECT lang, 1, i, sum(wa[i]) FROM h, range(1, {len(WORDS) + 2}) x(i) WHERE lang IN ({langs}) GROUP BY lang, i) GROUP BY lang) WHERE list_sum(c) > 0 AND list_sum(w) > 0),
+near AS (SELECT r, min({js(share('ch', 'list_sum(ch)'), 'ref.c')}) AS cj, min({js(share('wa', 'n_words'), 'ref.w')}) AS wj FROM h, ref GROUP BY r),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM h LEFT JOIN near USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {MIN_WORDS_FOR_CHARS} OR coalesce(cj <= {MAX_CHAR_DISTANCE}, true)) AND (n_words < {MIN_WORDS_FOR_WORDS} OR coalesce(wj <= {MAX_WORD_DISTANCE}, true)) AS kept,
+  round(cj, 6) AS char_js, round(wj, 6) AS word_js FROM v"""

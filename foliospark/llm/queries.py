@@ -57,7 +57,7 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_quality.quality(table(spark, sf_dir, "documents"))
+    return op9_quality.quality(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("char_js", "word_js")})
 
 
 def op10_packing_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_rules": op3_licenses.oracle()}
+    return {"op3_license_rules": op3_licenses.oracle(), "op9_quality_rules": op9_quality.oracle()}
