@@ -15,10 +15,12 @@ from foliospark.pdf.model import PdfError
 from foliospark.sources import files
 
 from . import pipeline
-from .options import DEFAULTS, OptionError, Options, load_profiles, parse_bool, parse_int, resolve, runnable, save_profile
+from .options import DEFAULTS, OptionError, Options, load_profiles, parse_bool, parse_int, read_password, resolve, runnable, save_profile
 
 #: Documents that come to the driver at a time to be published; results are bytes of whole files.
 PUBLISH = 32
+#: Passwords come from files only.
+SECRETS = {"password-file": "password", "encrypt-user-file": "encrypt_user", "encrypt-owner-file": "encrypt_owner"}
 SHORT = {"o": "outputs", "output": "outputs", "mono-dpi": "mono_dpi", "convert-fonts-cff": "cff_fonts"}
 
 
@@ -105,7 +107,12 @@ def parse_arguments(arguments: list[str]) -> tuple[dict[str, object], list[str],
             continue
         name, has, value = a.lstrip("-").partition("=")
         field = SHORT.get(name, name.replace("-", "_"))
-        if name not in extra and not hasattr(DEFAULTS, field):
+        if name in SECRETS:
+            if not has:
+                value = todo.pop(0) if todo else ""
+            flags[SECRETS[name]] = read_password(value)
+            continue
+        if name not in extra and (not hasattr(DEFAULTS, field) or field in SECRETS.values()):
             raise OptionError(f"unknown option {a}")
         kind = "" if name in extra else getattr(DEFAULTS, field)
         if isinstance(kind, bool):
