@@ -76,7 +76,7 @@ def extract(spark: SparkSession, paths: list[str], options: Options, out: TextIO
             target = files.free_name(target, options.collision, set())
             if (bad := read.first()["error"]) is not None:
                 raise PdfError(bad)
-            rows = (pipeline.extract_text(read).orderBy("page_no") if options.extract == "text" else pipeline.extract_images(read)).collect()
+            rows = (pipeline.extract_text(read).orderBy("page_no") if options.extract == "text" else pipeline.extract_images(read, options.inline_images)).collect()
             if bad := next((r["error"] for r in rows if r["error"]), None):
                 raise PdfError(bad)
             if options.extract == "text":
