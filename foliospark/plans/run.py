@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.pdf.model import PdfError
 from foliospark.sources import files
 
-from . import pipeline
+from . import legacy, pipeline
 from .options import DEFAULTS, OptionError, Options, load_profiles, parse_bool, parse_int, read_password, resolve, runnable, save_profile
 
 #: Documents that come to the driver at a time to be published; results are bytes of whole files.
@@ -149,7 +149,7 @@ def main(arguments: list[str], session: Callable[[int], SparkSession]) -> int:
         flags, inputs, extra = parse_arguments(arguments)
         profile: dict[str, object] = {}
         for p in extra["profile"]:
-            profile |= load_profiles(p, extra["profile-entry"])
+            profile |= (legacy.load if p.lower().endswith(".pdfscp") else load_profiles)(p, extra["profile-entry"])
         options = resolve(flags, profile)
         if extra["save-profile"]:
             save_profile(extra["save-profile"], {**profile, **flags})
