@@ -7,11 +7,12 @@ Two documents agree in a register with the probability of their probability Jacc
 give candidates; a candidate is a link if the Jaccard similarity of the two shingle sets, counted exactly, is at
 least THRESHOLD. Classes are the connected components of the links.
 
-Documents with equal shingle sets are one node from the start. In a bucket every member is first held against the
-bucket's leader (least by a hash), then pairs that are still in different classes follow: all pairs of buckets up
-to SMALL, and for larger buckets rounds in which every member meets the leaders among those without a link, until
-all have one. So a class grows without all pairs of a group. A link between two members of a large bucket that
-both have other links is only looked for in their other buckets.
+Documents with equal shingle sets are one node from the start. Candidates grow in proportion to the documents, whatever
+the size of a group: a member of a bucket meets the bucket's leader (least by a hash). First, every document is held
+against the leader with which it shares most bands; pairs that are then in one class already need no check. The rest
+follow: all other leaders, all pairs of buckets up to SMALL, and for members of larger buckets the leaders of the
+parts into which SPLITS other bands cut them. Two documents of similarity 0.8 share a band with a probability of
+1 - 2e-5 and nine bands on average; a link that only large buckets would show can be missed.
 
 Defined cases: a null text, or one without a word, is a class of its own; a text of one to four words has one
 shingle, of all of them; rows with a null doc_id are returned with a null class; repeated rows share a class; ties
@@ -34,11 +35,11 @@ from .shingles import shingles
 from .wordbpe import mixed
 
 THRESHOLD = 0.8
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SMALL = 6
-LEADERS = 4
-CHUNK_ELEMENTS = 1 << 20
+SPLITS = 8
+CHUNK_CHARS = 2 << 20
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -72,7 +73,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(texts: list[str | None], size: int = CHUNK_ELEMENTS * 4) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(texts):
         j, n = i, 0
@@ -173,40 +174,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = held.join(contents.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rank = F.xxhash64("doc_id")
     member = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
-    leaders = F.min(F.struct(rank.alias("h"), "doc_id", "n"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size"), leaders.alias("m")).where("size > 1")
+    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "doc_id", "n")).alias("m")).where("size > 1")
     kept = materialize(member.join(buckets.select("key", "size", F.col("m.doc_id").alias("leader"), F.col("m.n").alias("leader_n")), "key"), "buckets")
     alike = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
+    star = kept.where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("shared"))
+    star = materialize(star, "star")
     wanted = kept.select("doc_id").distinct()
     sets = materialize(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
-    star = kept.where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n")).select(*_pair("doc_id", "leader")).distinct()
-    links = materialize(verify(star, sets, threshold), "links")
+    best = star.groupBy("doc_id").agg(F.max(F.struct("shared", -F.col("leader"))).alias("m")).select("doc_id", (-F.col("m.col2")).alias("leader"))
+    links = materialize(verify(best.select(*_pair("doc_id", "leader")).distinct(), sets, threshold), "links")
     found = components(links)
 
-    # pairs of small buckets that the leaders left in different classes
     small = kept.where(f"size <= {SMALL}").select("key", "doc_id", "n")
-    small = small.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("class_id", "doc_id").alias("c"))
-    other = small.select("key", F.col("doc_id").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("o_c"))
-    rest = small.join(other, "key").where((F.col("doc_id") < F.col("o")) & (F.col("c") != F.col("o_c")) & alike("n", "o_n")).select(F.col("doc_id").alias("a"), F.col("o").alias("b"))
-    new = materialize(verify(rest.join(star, ["a", "b"], "left_anti").distinct(), sets, threshold), "links")
-    links = links.union(new)
-
-    # members of large buckets without a link meet more and more leaders
+    other = small.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"))
+    pairs = star.select("doc_id", "leader").union(small.join(other, "key").where((F.col("doc_id") < F.col("leader")) & alike("n", "leader_n")).select("doc_id", "leader"))
     large = kept.where(f"size > {SMALL}").select("key", "doc_id", "n")
-    linked = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
-    alone = materialize(large.join(linked, "doc_id", "left_anti"), "alone")
-    count = LEADERS
-    while alone.limit(1).count():
-        tops = [F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(i)).alias("h"), "doc_id", "n")).alias(f"m{i}") for i in range(count)]
-        chosen = alone.groupBy("key").agg(*tops).select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"m{i}.doc_id").alias("leader"), F.col(f"m{i}.n").alias("leader_n")) for i in range(count)]))).alias("m")).select("key", "m.*")
-        chosen = materialize(chosen, "leaders")
-        met = large.join(chosen, "key").where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n")).select(*_pair("doc_id", "leader")).distinct()
-        new = materialize(verify(met.join(links, ["a", "b"], "left_anti"), sets, threshold), "links")
-        links = links.union(new)
-        done = new.select(F.col("a").alias("doc_id")).union(new.select("b")).distinct()
-        alone = materialize(alone.join(done, "doc_id", "left_anti").join(chosen.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti"), "alone")
-        count = min(64, 2 * count)
-    found = components(links)
+    turn = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.get("bands", F.pmod(F.array_position("bands", F.col("key")).cast("int") - 1 + i, F.lit(BANDS))))
+    parts = large.join(nodes.select("doc_id", "bands"), "doc_id").select("doc_id", "n", F.explode(F.transform(turn, lambda k: F.xxhash64(k, F.col("key")))).alias("part"))
+    tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "doc_id", "n")).alias("m")).where("size > 1")
+    met = parts.join(tops.select("part", F.col("m.doc_id").alias("leader"), F.col("m.n").alias("leader_n")), "part").where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n"))
+    pairs = pairs.union(met.select("doc_id", "leader")).select(*_pair("doc_id", "leader")).distinct()
+    one, two = found.select(F.col("id").alias("a"), F.col("class_id").alias("c")), found.select(F.col("id").alias("b"), F.col("class_id").alias("d"))
+    apart = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
+    new = materialize(verify(apart, sets, threshold), "links")
+    found = components(links.union(new))
     out = held.select("doc_id", "content").join(contents, "content").select("doc_id", "rep").join(found, F.col("rep") == F.col("id"), "left")
     out = out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
     out = out.union(signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
