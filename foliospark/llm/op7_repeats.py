@@ -39,10 +39,10 @@ from .wordbpe import SpanHash
 LENGTH = 100
 K = 24
 HOT = 512
-FLUSH_BYTES = 16 << 20
-BATCH_BYTES = 2 << 20
-PART_BYTES = 16 << 20
-INDEX_BYTES = 1 << 20
+FLUSH_BYTES = 12 << 20
+BATCH_BYTES = 3 << 18
+PART_BYTES = 12 << 20
+INDEX_BYTES = 1 << 19
 REPEAT, RUNS, STRINGS, WINDOWS = 0, 1, 2, 3
 SCHEMA = "kind int, bucket long, n long, size long, blob binary"
 RUN = np.dtype([("k", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4")])
@@ -64,7 +64,7 @@ def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int =
     place = np.arange(n - k + 1)
     gram = _HASH(data, place, place + k)
     bits = np.uint64(max(1, int(n).bit_length()))
-    low = gram >> bits << bits | place.astype(np.uint64)  # the position breaks ties: the leftmost
+    low = gram >> bits << bits | place.view(np.uint64)  # the position breaks ties: the leftmost
     span = length - k + 1
     least, width = low, 1
     while 2 * width <= span:
@@ -72,9 +72,10 @@ def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int =
         width *= 2
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    owner = np.repeat(np.arange(len(size)), size)[: len(least)]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(least)]
     valid = place[: len(least)] + length <= (begin + size)[owner]
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    del low, least
     first = valid.copy()
     first[1:] &= ~valid[:-1] | (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
     start = np.flatnonzero(first)
