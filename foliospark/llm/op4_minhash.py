@@ -162,6 +162,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """id, root of a forest of pointers (id, to): every pointer jumps over the one it leads to until none changes."""
+    now = materialize(parents.select("id", "to"), "roots")
+    while True:
+        up = now.select(F.col("id").alias("to"), F.col("to").alias("above"))
+        after = materialize(now.join(up, "to", "left").select("id", F.coalesce("above", "to").alias("to"), F.col("above").isNotNull().alias("changed")), "roots")
+        now = after.select("id", "to")
+        if not after.where("changed").limit(1).count():
+            return now.select("id", F.col("to").alias("root"))
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -181,9 +192,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     star = materialize(star, "star")
     wanted = kept.select("doc_id").distinct()
     sets = materialize(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
-    best = star.groupBy("doc_id").agg(F.max(F.struct("shared", -F.col("leader"))).alias("m")).select("doc_id", (-F.col("m.col2")).alias("leader"))
-    links = materialize(verify(best.select(*_pair("doc_id", "leader")).distinct(), sets, threshold), "links")
-    found = components(links)
+    # leaders come before their members by hash, so these pointers make a forest
+    best = star.groupBy("doc_id").agg(F.max(F.struct("shared", -F.col("leader"))).alias("m")).select(F.col("doc_id").alias("a"), (-F.col("m.col2")).alias("b"))
+    found = roots(verify(best, sets, threshold).select(F.col("a").alias("id"), F.col("b").alias("to")))
 
     small = kept.where(f"size <= {SMALL}").select("key", "doc_id", "n")
     other = small.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"))
@@ -194,12 +205,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "doc_id", "n")).alias("m")).where("size > 1")
     met = parts.join(tops.select("part", F.col("m.doc_id").alias("leader"), F.col("m.n").alias("leader_n")), "part").where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n"))
     pairs = pairs.union(met.select("doc_id", "leader")).select(*_pair("doc_id", "leader")).distinct()
-    one, two = found.select(F.col("id").alias("a"), F.col("class_id").alias("c")), found.select(F.col("id").alias("b"), F.col("class_id").alias("d"))
-    apart = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
-    new = materialize(verify(apart, sets, threshold), "links")
-    found = components(links.union(new))
-    out = held.select("doc_id", "content").join(contents, "content").select("doc_id", "rep").join(found, F.col("rep") == F.col("id"), "left")
-    out = out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+    one, two = found.select(F.col("id").alias("a"), F.col("root").alias("c")), found.select(F.col("id").alias("b"), F.col("root").alias("d"))
+    apart = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("c", "a").alias("c"), F.coalesce("d", "b").alias("d")).where("c != d")
+    apart = materialize(apart, "apart")
+    new = verify(apart.select("a", "b"), sets, threshold).join(apart, ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    merged = components(new).select(F.col("id").alias("root"), F.col("class_id").alias("top"))
+    placed = held.select("doc_id", "content").join(contents, "content").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
+    placed = materialize(placed.join(merged, "root", "left").select("doc_id", F.coalesce("top", "root").alias("top")), "placed")
+    out = placed.join(placed.groupBy("top").agg(F.min("doc_id").alias("class_id")), "top").select("doc_id", "class_id")
     out = out.union(signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     out = out.union(docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_copy"))
