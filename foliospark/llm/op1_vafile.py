@@ -112,7 +112,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k greatest inner products over all other vectors."""
     rows = materialize(scaled(vectors), "vafile-vectors")
     n = rows.count()
-    groups = max(1, -(-n // VECTORS_PER_GROUP))
+    # each group costs a copy of the queries, so there are no more than keep all cores busy
+    groups = max(1, min(-(-n // VECTORS_PER_GROUP), 2 * vectors.sparkSession.sparkContext.defaultParallelism))
     data = blocks(rows.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups))).repartition(groups, "g"), BLOCK)
     asked = blocks(rows.where(is_query).withColumn("g", F.lit(0).cast("long")), QUERY_BLOCK).select(
         F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.xxhash64("ids", "data").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q_g")

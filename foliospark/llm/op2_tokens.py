@@ -87,7 +87,10 @@ def encoding(ranks: bytes, pattern: str):
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (kind, file, number, data) of the flat files at a path; file is the hash of its path."""
+    """Blocks (kind, file, number, data) of the flat files at a path; file is the hash of its path.
+
+    A file is read as one row of at most 2 GB; larger ones must be written in parts.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = width * block_tokens

@@ -60,13 +60,13 @@ class Profiler:
 
     def __init__(self) -> None:
         self.codes, self.letters = letter_codes(), letter_vectors()
-        self.row = np.full(LETTERS**3, -1, np.int32)
+        self.row = np.full(LETTERS**3, -1, np.int16)
         self.book, self.n = np.empty((1 << 12, DIMENSIONS), np.float32), 0
 
     def vectors(self, trigrams: np.ndarray) -> np.ndarray:
         """The rows of the book for these codes, which are bound when first met."""
         new = trigrams[self.row[trigrams] < 0]
-        if self.n + len(new) > 1 << 14:  # the book stays below 64 MB
+        if self.n + len(new) > 1 << 13:  # the book stays below 32 MB
             self.row[:], self.n, new = -1, 0, trigrams
         if len(new):
             while self.n + len(new) > len(self.book):
@@ -154,9 +154,10 @@ def train(docs: DataFrame, trainable: Column) -> Model:
                 total[lang] = total.get(lang, 0) + v.astype(np.float64)
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
 
+    # the scan is as wide as the table; only the bounded sample is dealt to a few tasks
     chosen = docs.where(F.col("doc_id").isin(ids) & trainable & F.col("lang").isin(*names)).select("lang", "text")
     total: dict[str, np.ndarray] = {}
-    for r in chosen.coalesce(max(1, min(16, chosen.rdd.getNumPartitions()))).mapInArrow(sums, schema).collect():
+    for r in chosen.repartition(16).mapInArrow(sums, schema).collect():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], np.float64)
     names = sorted(total)
     units = _unit(np.stack([total[k] for k in names]))
