@@ -138,6 +138,17 @@ def _repeats(runs: np.ndarray, length: int, buckets: int) -> list[tuple]:
     return [_row(REPEAT, int(spans["start"][i] + spans["doc"][i]) % buckets, len(spans[i : i + 65536]), 0, spans[i : i + 65536].tobytes()) for i in range(0, len(spans), 65536)]
 
 
+def _each(column: pa.Array) -> Iterator:
+    """A column's values one at a time: a batch of texts isn't held twice."""
+    return (x.as_py() for x in column)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs as offsets and one array for each field; null lists are empty."""
+    values = column.values
+    return column.offsets.to_numpy(), {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+
+
 class _Texts:
     """Documents gathered to batches of bytes."""
 
@@ -173,7 +184,7 @@ def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             return _batch(_by_bucket(RUNS, first, buckets, "k") + _repeats(rest, length, buckets))
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, text in zip(b.column(0).to_pylist(), _each(b.column(1))):
                 if texts.add(key, text):
                     cut()
                     n += texts.size
@@ -240,22 +251,22 @@ def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
             return _batch(rows)
 
         for b in batches:
-            for key, text, spans in zip(*(b.column(i).to_pylist() for i in (0, 1, b.num_columns - 1))):
-                if not spans:
-                    continue
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for s in spans:
-                    k = s["k"] & (1 << 64) - 1
-                    part = raw[s["start"] : s["start"] + s["size"] + length - 1]
-                    if s["kind"] == STRINGS:
+            at, spans = _lists(b.column(b.num_columns - 1))
+            for row in np.flatnonzero(np.diff(at)).tolist():
+                key, raw = b.column(0)[row].as_py(), (b.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass")
+                own = slice(int(at[row]), int(at[row + 1]))
+                for start, n, kind, k in zip(*(spans[x][own].tolist() for x in ("start", "size", "kind", "k"))):
+                    k &= (1 << 64) - 1
+                    part = raw[start : start + n + length - 1]
+                    if kind == STRINGS:
                         heads, raws = held.setdefault((k >> 8) % buckets, ([], []))
-                        heads.append((k, 0, key, s["start"], s["size"]))
+                        heads.append((k, 0, key, start, n))
                         raws.append(part)
                         size += len(part)
                     else:
-                        data, at = np.frombuffer(part, np.uint8), np.arange(s["size"])
-                        w = np.empty(len(at), RUN)
-                        w["k"], w["h"], w["doc"], w["start"], w["n"] = k, _HASH(data, at, at + length), key, s["start"] + at, 1
+                        data, place = np.frombuffer(part, np.uint8), np.arange(n)
+                        w = np.empty(n, RUN)
+                        w["k"], w["h"], w["doc"], w["start"], w["n"] = k, _HASH(data, place, place + length), key, start + place, 1
                         windows.append(w)
                         size += w.nbytes
                     if size >= FLUSH_BYTES // 2:
@@ -319,15 +330,14 @@ def index_strings(strings: DataFrame, length: int) -> DataFrame:
     return strings.mapInArrow(run, "doc long, start long, size long")
 
 
-def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
+def merged(start: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Stretches in order, joined where they touch, within n bytes."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["start"], min(n, s["start"] + s["size"])) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    if not len(start):
+        return []
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(np.minimum(n, start + size)[order])
+    first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return list(zip(start[first].tolist(), end[np.append(first[1:], len(start)) - 1].tolist()))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -357,10 +367,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if spans and text:
+            begin, spans = _lists(b.column(b.num_columns - 1))
+            for text, i, j in zip(_each(b.column(at)), begin[:-1].tolist(), begin[1:].tolist()):
+                if j > i and text:
                     raw, parts, last = text.encode("utf-8", "surrogatepass"), [], 0
-                    for x, y in merged(spans, len(raw)):
+                    for x, y in merged(spans["start"][i:j], spans["size"][i:j], len(raw)):
                         while x < y and raw[x] & 0xC0 == 0x80:
                             x += 1
                         while x < y < len(raw) and raw[y] & 0xC0 == 0x80:
@@ -388,9 +399,10 @@ def digests(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            begin, spans = _lists(b.column(2))
+            for text, i, j in zip(_each(b.column(1)), begin[:-1].tolist(), begin[1:].tolist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                gone, at, sha = merged(spans, len(raw)), 0, hashlib.sha256()
+                gone, at, sha = merged(spans["start"][i:j], spans["size"][i:j], len(raw)), 0, hashlib.sha256()
                 for x, y in gone:
                     sha.update(raw[at:x])
                     at = y
