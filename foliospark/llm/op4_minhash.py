@@ -210,9 +210,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     apart = materialize(apart, "apart")
     new = verify(apart.select("a", "b"), sets, threshold).join(apart, ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b"))
     merged = components(new).select(F.col("id").alias("root"), F.col("class_id").alias("top"))
-    placed = held.select("doc_id", "content").join(contents, "content").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-    placed = materialize(placed.join(merged, "root", "left").select("doc_id", F.coalesce("top", "root").alias("top")), "placed")
-    out = placed.join(placed.groupBy("top").agg(F.min("doc_id").alias("class_id")), "top").select("doc_id", "class_id")
+    reps = contents.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("content", "rep", F.coalesce("root", "rep").alias("root"))
+    reps = materialize(reps.join(merged, "root", "left").select("content", "rep", F.coalesce("top", "root").alias("top")), "classes")
+    least = materialize(reps.groupBy("top").agg(F.min("rep").alias("class_id")), "least")
+    named = materialize(reps.join(least, "top").select("content", "class_id"), "named")
+    out = held.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
     out = out.union(signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     out = out.union(docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_copy"))
