@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import sliced
 from .op8_wordbpe import encode_texts
 from .wordbpe import compile_lexicon, encoder
 
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int = LIM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, first = encoder(block.value), TaskContext.get().partitionId() << 40
         keys, ids, size = [], [], 0
-        for b in batches:
+        for b in sliced(batches):
             for k, x in zip(b.column(0).to_pylist(), encode_texts(enc, b.column(1).to_pylist())):
                 keys.append(k)
                 ids.append(np.append(x, np.array([end_id], x.dtype)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 BLOCK_TOKENS = 1 << 17
 FAN = 1024
@@ -46,7 +46,7 @@ def token_files(docs: DataFrame, vocabulary: str, pattern: str, separator: int,
         def row(kind: int, number: int, data: bytes) -> pa.RecordBatch:
             return pa.record_batch([pa.array([kind], pa.int32()), pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["kind", "file", "number", "data"])
 
-        for b in batches:
+        for b in sliced(batches):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = enc.encode_ordinary(text or "")
                 tokens.append(separator)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 from .shingles import shingles
 from .wordbpe import mixed
 
@@ -89,7 +89,7 @@ def sign(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, content binary, n long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2048):
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _chunks(texts):
                 owner, value, count = shingles(texts[i:j])
@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id and its sorted shingle hashes, cut to 40 bits, as one block of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2048):
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _chunks(texts):
                 owner, value, _ = shingles(texts[i:j])

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .op8_wordbpe import runs
 
 
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = "doc_id long, lang_pred string, score double, margin double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             label, score, margin, _ = judge(b.column(1).to_pylist(), model)
             yield pa.record_batch([b.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
@@ -201,7 +202,7 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             label, _, _, like = judge(b.column(at).to_pylist(), model)
             yield b.filter(pa.array([x != UNKNOWN and y >= MIN_LIKENESS for x, y in zip(label, like)], pa.bool_()))
 

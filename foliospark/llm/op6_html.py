@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .html_blocks import Block, blocks
 
 TRAINING_PAGES = 400
@@ -281,7 +282,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(weights.value)
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(own, p) for p in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

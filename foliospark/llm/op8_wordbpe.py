@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
 from .wordbpe import Encoder, compile_lexicon, encoder
 
 RUN_CHARS = 1 << 20
@@ -79,7 +80,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(block.value)
-        rows = ((k, ids.astype("<u4").tobytes()) for b in batches for k, ids in zip(b.column(0).to_pylist(), encode_texts(enc, b.column(1).to_pylist())))
+        rows = ((k, ids.astype("<u4").tobytes()) for b in sliced(batches) for k, ids in zip(b.column(0).to_pylist(), encode_texts(enc, b.column(1).to_pylist())))
         yield from _emit(schema, rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -104,7 +105,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, size = encoder(block.value), ([], [], []), 0
-        for b in batches:
+        for b in sliced(batches):
             for k, ids in zip(b.column(0).to_pylist(), encode_texts(enc, b.column(1).to_pylist())):
                 raw = ids.astype("<u4").tobytes()
                 text = enc.decode(np.frombuffer(raw, "<u4"))
