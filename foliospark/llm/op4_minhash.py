@@ -11,8 +11,9 @@ Documents with equal shingle sets are one node from the start. Candidates grow i
 the size of a group: a member of a bucket meets the bucket's leader (least by a hash). First, every document is held
 against the leader with which it shares most bands; pairs that are then in one class already need no check. The rest
 follow: all other leaders, all pairs of buckets up to SMALL, and for members of larger buckets the leaders of the
-parts into which SPLITS other bands cut them. Two documents of similarity 0.8 share a band with a probability of
-1 - 2e-5 and nine bands on average; a link that only large buckets would show can be missed.
+parts into which SPLITS other bands cut them. What large buckets then still hold in different classes is checked pair
+by pair, in cells of BLOCK by BLOCK members, so that in the end every two documents of a bucket were compared or share
+a class. These last pairs grow with the square of a family whose members are alike but below the threshold.
 
 Defined cases: a null text, or one without a word, is a class of its own; a text of one to four words has one
 shingle, of all of them; rows with a null doc_id are returned with a null class; repeated rows share a class; ties
@@ -39,6 +40,8 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SMALL = 6
 SPLITS = 8
+BLOCK = 256
+COLUMNS = 4096
 CHUNK_CHARS = 2 << 20
 
 
@@ -177,6 +180,40 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def last_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: tops that a link joins, from all pairs of members (key, doc_id, top) of one key but different tops.
+
+    Members of a key fall into blocks of about BLOCK, and each two blocks meet in a cell of their own, where the
+    shingles that several members hold become columns and a matrix product counts what each pair shares.
+    """
+    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo != hi")
+    cut = members.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "top", "doc_id").join(sets, "doc_id")
+
+    def run(cell: pa.Table) -> pa.Table:
+        top, block, held = cell["top"].to_numpy(), cell["block"].to_numpy(), [_set(x) for x in cell["shingles"].to_pylist()]
+        one, two = (np.flatnonzero(block == cell[x][0].as_py()) for x in ("i", "j"))
+        size = np.array([len(x) for x in held])
+        values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        column = np.cumsum(np.append(False, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+        several = np.bincount(column)[column] > 1
+        owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+        common = np.zeros((len(one), len(two)))
+        edges = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + COLUMNS + 1, COLUMNS))
+        for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+            m = np.zeros((len(held), COLUMNS), np.float32)
+            m[owner[x:y], column[x:y] - k * COLUMNS] = 1
+            common += m[one] @ m[two].T
+        link = (common >= threshold * (size[one][:, None] + size[two] - common) - 1e-9) & (top[one][:, None] != top[two])
+        found = np.unique(np.sort(np.stack([top[one][np.nonzero(link)[0]], top[two][np.nonzero(link)[1]]], 1), axis=1), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), is_copy (not that document)."""
     signed = materialize(sign(docs.where(F.col("doc_id").isNotNull())), "signatures")
@@ -212,6 +249,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     merged = components(new).select(F.col("id").alias("root"), F.col("class_id").alias("top"))
     reps = contents.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("content", "rep", F.coalesce("root", "rep").alias("root"))
     reps = materialize(reps.join(merged, "root", "left").select("content", "rep", F.coalesce("top", "root").alias("top")), "classes")
+    tops = reps.select(F.col("rep").alias("doc_id"), "top")
+    late = components(last_links(large.select("key", "doc_id").join(tops, "doc_id"), sets, threshold))
+    reps = reps.join(late.select(F.col("id").alias("top"), F.col("class_id").alias("joined")), "top", "left").select("content", "rep", F.coalesce("joined", "top").alias("top"))
+    reps = materialize(reps, "classes")
     least = materialize(reps.groupBy("top").agg(F.min("rep").alias("class_id")), "least")
     named = materialize(reps.join(least, "top").select("content", "class_id"), "named")
     out = held.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")

@@ -136,6 +136,17 @@ def test_near_duplicate_classes_equal_brute_force(spark, rows, monkeypatch, smal
     assert len(got) == len(more)
 
 
+def test_links_that_only_large_buckets_show_are_found(spark, monkeypatch):
+    monkeypatch.setattr(op4_minhash, "BLOCK", 16)
+    monkeypatch.setattr(op4_minhash, "COLUMNS", 100)
+    words = lambda at, n: " ".join(f"w{at + i}" for i in range(n))
+    ids = [r.id for r in spark.range(1, 91).orderBy(F.xxhash64("id")).collect()]
+    # a family below the threshold, and two of its members, never leaders, that are alike
+    rows = [(k, words(0, 900) + " " + words(10_000 * k, 110 if k in ids[-2:] else 150), "en", "s", 1, "x", 1, 1) for k in ids]
+    got = {r.doc_id: r.class_id for r in op4_minhash.classes(frame(spark, rows)).collect()}
+    assert got == {k: min(ids[-2:]) if k in ids[-2:] else k for k in ids} == jaccard_classes(rows)
+
+
 def test_near_duplicates_of_null_ids_and_empty_table(spark):
     rows = [(None, "a b c d e f", None, None, None, "", 0, 0), (1, "A b c  d e f", None, None, None, "", 0, 0), (2, "a b c d e f", None, None, None, "", 0, 0)]
     got = sorted(map(tuple, op4_minhash.classes(frame(spark, rows)).collect()), key=str)
