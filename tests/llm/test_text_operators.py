@@ -155,6 +155,17 @@ def test_near_duplicates_of_null_ids_and_empty_table(spark):
     assert op4_minhash.one_of_each(frame(spark, rows)).count() == 2
 
 
+def test_repeated_blocks_keep_near_copies_together(spark):
+    words = lambda k, at, n: " ".join(f"w{k}x{at + i}" for i in range(n))
+    rows = []
+    for k in range(20):  # pairs of similarity 0.8; one of each repeats half of what they share
+        block, rest = words(k, 0, 450), words(k, 450, 450)
+        for i, text in enumerate((" ".join([block] * 100) + " " + rest, block + " " + rest)):
+            rows.append((2 * k + i, text + " " + words(k, 1000 * (i + 1), 108 if i else 104), "en", "s", 1, "x", 1, 1))
+    got = {r.doc_id: r.class_id for r in op4_minhash.classes(frame(spark, rows)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(40)} == jaccard_classes(rows)
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a = {int(x): float(w) for x, w in zip(rng.integers(1, 1 << 60, 50), rng.integers(1, 5, 50))}
