@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, DataFrame functions only.
 
-A text is cut into sentences (at line ends, and at . ! ? ; : before white space or the end), sentences are normalised
-to lower-case words of a-z and 0-9, and each is looked up among the known licence sentences. The numbers of the known
+A text is cut into pieces (at line ends, and at . ! ? ; : before white space or the end), which are normalised to
+lower-case words of a-z and 0-9; signs that begin a line, as those of comments, don't count. A known licence sentence
+is found where it equals a piece, or successive pieces with nothing but single line ends between them (wrapped lines);
+of two that begin together the longer counts. The SQL reads single pieces only. The numbers of the known
 sentences, in order, are matched against the ordered RULES: a rule applies where its numbers follow one another, and
 takes them from the rules after it. Sentences that aren't known lie between without effect.
 
@@ -89,9 +91,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (the known ones, as <number> in order), n_known, licenses and kinds (in rule order, joined by
     commas), n_matches."""
     known = "array(" + ", ".join(f"'{s}'" for s in SENTENCES) + ")"
-    cut = r"regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(?:[ \\t\\r\\n]+|$)', '\n')"
-    plain = rf"split(regexp_replace({cut}, '[^a-z0-9\\n]+', ' '), '\\n')"
-    found = f"filter(transform({plain}, s -> array_position({known}, trim(s))), n -> n > 0)"
+    text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "\n[^a-z0-9\n]+", "\n")
+    # an empty line stands for what ends a sentence, a single line end for what may
+    text = F.regexp_replace(F.regexp_replace(text, "[.!?;:]+(?:[ \t\r\n]+|$)", "\n\n"), "[^a-z0-9\n]+", " ")
+    wrapped = "|".join(s.replace(" ", "(?: \n?|\n)") for s in sorted(SENTENCES, key=len, reverse=True))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:(?<=\n)|(?<=\n )|(?<=^ )|^)(?:{wrapped})(?= ?(?:\n|\\z))"), F.lit(0))
+    found = f"transform(__pieces, s -> array_position({known}, regexp_replace(s, '[ \\n]+', ' ')))"
     rules = "array(" + ", ".join(f"named_struct('form', '{_form(n)}', 'name', '{a}', 'kind', '{k}')" for a, k, n in RULES) + ")"
     times = "cast((length(a.s) - length(replace(a.s, r.form, ''))) / length(r.form) as bigint)"
     start = "named_struct('s', s, 'names', cast(array() as array<string>), 'kinds', cast(array() as array<string>), 'n', 0L)"
@@ -101,7 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     matched = f"aggregate({rules}, {start}, {step})"
     numbers = _let(found, "f", "struct(array_join(transform(f, n -> concat('<', n, '>')), '') as s, cast(size(f) as bigint) as n)")
-    held = docs.select("doc_id", F.expr(_let(numbers, "x", f"struct(x.s as sentences, x.n as n_known, {_let('x.s', 's', matched)} as m)")).alias("f"))
+    held = docs.select("doc_id", pieces.alias("__pieces")).select("doc_id", F.expr(_let(numbers, "x", f"struct(x.s as sentences, x.n as n_known, {_let('x.s', 's', matched)} as m)")).alias("f"))
     joined = lambda c: F.array_join(F.array_distinct(c), ",")
     return held.select("doc_id", "f.sentences", "f.n_known", joined("f.m.names").alias("licenses"), joined("f.m.kinds").alias("kinds"), F.col("f.m.n").alias("n_matches"))
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -95,6 +96,27 @@ def test_license_rules(spark):
     assert op3_licenses.scan(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("width", [40, 72, 80])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", ";; "])
+def test_wrapped_licenses(spark, width, prefix):
+    sentence = op3_licenses.SENTENCES
+    said = lambda *numbers: [sentence[n - 1].capitalize() + "." for n in numbers]
+    wrapped = lambda *paragraphs: "\n".join((prefix + line).rstrip() for p in paragraphs for line in [*textwrap.wrap(p, width), ""])
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cases = {
+        1: ("MIT", 4, 1, wrapped("The MIT License", "Copyright (c) 2020 A. Person", *said(3, 4), " ".join(said(5, 6)))),
+        2: ("BSD-3-Clause", 4, 1, wrapped(*said(28), *(f"{i}. {x}" for i, x in enumerate(said(29, 30, 31), 1)))),
+        3: ("GPL-3.0-or-later", 5, 1, wrapped(gpl, " ".join([sentence[17] + ";", sentence[18] + ".", sentence[19] + "."]))),
+        4: ("MIT", 1, 1, "MIT License\n" + wrapped(*said(3))),
+        5: ("MIT,all-rights-reserved", 2, 2, "Some words\nreleased under the MIT license\nAll rights reserved\nmore words"),
+        6: ("Apache-2.0", 1, 1, 'Licensed under the Apache License, Version 2.0\n(the "License")'),
+        7: ("", 0, 0, "released under\n\nthe MIT license. Or not released under the MIT\nlicense"),
+    }
+    docs = spark.createDataFrame([(k, c[3].replace("\n", "\r\n") if k == 2 else c[3]) for k, c in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_known, r.n_matches) for r in op3_licenses.scan(docs).collect()}
+    assert got == {k: c[:3] for k, c in cases.items()}
+
+
 # 4
 
 
