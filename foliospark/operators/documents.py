@@ -1,4 +1,4 @@
-"""Queries over PDFs made of the documents table, one small PDF a document (no table of the driver holds PDFs)."""
+"""Queries over PDFs made of the documents table, one PDF a document with its whole text (no table of the driver holds PDFs)."""
 
 from __future__ import annotations
 
