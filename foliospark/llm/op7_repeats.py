@@ -297,6 +297,8 @@ def index_strings(strings: DataFrame, length: int) -> DataFrame:
             if i + 1 == len(order) or size[i] - (size[at - 1] if at else 0) >= INDEX_BYTES:
                 pick = order[at : i + 1]
                 pick = pick[np.lexsort((head["start"][pick], head["doc"][pick]))]
+                again = np.flatnonzero(head[pick][1:] == head[pick][:-1]) + 1  # strings of rows that repeat a document
+                pick = np.delete(pick, [x for x in again.tolist() if parts[pick[x]] == parts[pick[x - 1]]])
                 yield head[pick], [parts[j] for j in pick.tolist()]
                 at = i + 1
 

@@ -276,6 +276,20 @@ def test_repeated_rows_and_null_ids_lose_nothing(spark):
     assert op7_repeats.digests(op7_repeats.repeats(empty(spark))).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 512])
+def test_repeated_rows_with_contested_passages_equal_brute_force(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(op7_repeats, "HOT", hot)
+    monkeypatch.setattr(op7_repeats, "INDEX_BYTES", 5000)
+    r = random.Random(21)
+    text = next(x[1] for x in rows if x[0] == 1006)
+    more = [x for x in rows if x[0] != 1006]
+    for key, body in ((1006, text), (1006, text), (5000, "before " + text[500:1500] + " after " + prose(r, 50)), (5000, None)):
+        more.append((key, body if body else more[-1][1], None, None, None, "", 0, 0))
+    got = op7_repeats.digests(op7_repeats.repeats(frame(spark, more))).collect()
+    want = removed_by_brute_force(more)
+    assert len(got) == len(more) and all(tuple(x)[1:] == want[x.doc_id] for x in got)
+
+
 def test_texts_without_repeats_stay_utf8(spark):
     r = random.Random(1)
     a = "é" + "".join(r.choice("é漢🎉öñ語") for _ in range(90))
