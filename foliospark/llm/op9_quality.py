@@ -5,7 +5,8 @@ summed histograms of all documents of each language in COMMON_WORDS. A document
 reference is farther than a limit; documents below the minimum lengths are judged by the base rules alone.
 
 Defined cases: null or empty text has no words and fails the base rules; documents whose language is null
-or has no reference are judged against the nearest reference all the same; if no language has a reference
+are judged against the nearest reference; those whose language is named but has no reference are judged by the base
+rules alone (the SQL takes the nearest reference for them too); if no language has a reference
 (an empty table, unknown languages only) the base rules alone decide; repeated rows are judged each; extra
 columns of the input are ignored.
 """
@@ -126,8 +127,9 @@ def judged(found: DataFrame) -> Column:
         "transform(concat(wh, array(cast(n as int) - aggregate(wh, 0, (s, y) -> s + y))), x -> x / cast(greatest(1, n) as double))", "p", _js("p", [refs[k][1] for k in order])
     )
     base = f"(n < {MIN_WORDS} or 100 * rep > {MAX_REPEAT_PERCENT} * n)"
-    near = f"(n < {MIN_WORDS_FOR_CHARS} or coalesce(cj <= {MAX_CHAR_DISTANCE}D, true))"
-    usual = f"(n < {MIN_WORDS_FOR_WORDS} or coalesce(wj <= {MAX_WORD_DISTANCE}D, true))"
+    known = f"(lang is null or lang in ({', '.join(repr(k) for k in order)}))" if refs else "true"
+    near = f"(n < {MIN_WORDS_FOR_CHARS} or not {known} or coalesce(cj <= {MAX_CHAR_DISTANCE}D, true))"
+    usual = f"(n < {MIN_WORDS_FOR_WORDS} or not {known} or coalesce(wj <= {MAX_WORD_DISTANCE}D, true))"
     out = f"struct(n as n_words, f.w.word_chars, f.c.n_symbols, f.n_dup_lines, rep as n_repeat_words, {base} as base_failed, not {base} and {near} and {usual} as kept, cj as char_js, wj as word_js)"
     for value, name in reversed([(FEATURES, "f"), ("f.w.n_words", "n"), ("f.w.n_repeat_words", "rep"), ("f.c.char_hist", "ch"), ("f.w.word_hist", "wh"), (char_js, "cj"), (word_js, "wj")]):
         out = _let(value, name, out)

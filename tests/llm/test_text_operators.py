@@ -384,6 +384,17 @@ def test_quality_counts_and_verdicts(spark, rows):
     assert op9_quality.quality(empty(spark)).count() == 0
 
 
+def test_languages_without_reference_pass_the_distance_rules(spark):
+    r = random.Random(13)
+    other = lambda cs: " ".join("".join(r.choice(cs) for _ in range(r.randint(2, 8))) for _ in range(300))
+    usual = " ".join(r.choice(op9_quality.COMMON_WORDS["en"] + ["house", "water", "green"]) for _ in range(400))
+    polish, cyrillic = other("bcdfghjklmnprstwz"), other("абвгдежзиклмнопрст")
+    texts = [(1, usual, "en"), (2, polish, "pl"), (3, cyrillic, "ru"), (4, cyrillic, None), (5, "too short", "pl")]
+    rows = [(k, t, lang, "s", 1, "", 0, 0) for k, t, lang in texts] + [(10 + i, usual, "en", "s", 1, "", 0, 0) for i in range(9)]
+    assert {x.doc_id for x in op9_quality.accepted(frame(spark, rows)).collect() if x.doc_id < 10} == {1, 2, 3}
+    assert {x.doc_id for x in op9_quality.quality(frame(spark, rows)).collect() if x.kept and x.doc_id < 10} == {1, 2, 3}
+
+
 def test_quality_distance(spark):
     r = random.Random(9)
     rows = [(i, prose(r, 200), "en", "s", 1, "", 0, 0) for i in range(5)]
