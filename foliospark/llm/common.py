@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +13,52 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or (tests only) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary folder; a cluster is refused, as its executors share none.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("foliospark.local.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("foliospark.test.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="foliospark-")
-            spark.conf.set("foliospark.test.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="foliospark-")
+        spark.conf.set("foliospark.local.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder, which outlives lost executors."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written within are deleted at the end, but for those taken off the list."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _SCOPES.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,23 +3,25 @@
 Each string of LENGTH bytes (a window) belongs to the position of its least K-byte hash. Successive windows with the
 same position form a run, about one for every 39 bytes, and equal windows lie in runs with equal K bytes there.
 
-1. Where the documents are read, runs are hashed (the K bytes, and the run's whole string) and sent to buckets by the
-   hash of the K bytes. Of equal runs only the first leaves its batch; the others are repeats for certain.
-2. A bucket keeps the first of equal runs; the others are repeats. Runs whose K bytes are shared by a different run
-   are contested; all others are done. Bytes have not moved so far.
-3. The bytes of contested runs, cut from the documents, meet in buckets again. There a run-length index is built
-   over the distinct strings, they are streamed through it, and windows that start earlier are marked (see rlindex).
-   K bytes with more than HOT different runs are not indexed together: their windows are hashed one by one and
-   compared like the runs of step 1, so no group has to fit a task.
+1. Where the documents are read, runs are cut and their K bytes are hashed. One record for each distinct K of a batch
+   goes to the bucket of that hash; runs whose K occurs twice in the batch need no answer.
+2. A bucket tells which runs share their K bytes with another run. All others can't hold a repeat and are done; no
+   bytes have moved so far. This is all that hashes decide: they choose what is compared, and where.
+3. The bytes of shared runs, cut from the documents, go to the buckets of their K bytes; equal strings, compared byte by
+   byte, travel once for each batch. Over the distinct strings of a bucket's groups a run-length index is built (see
+   rlindex), all are streamed through it, and a window is a repeat if its matching statistic reaches LENGTH at an earlier
+   place. Of equal strings the first is indexed; the matches of the others are that string itself.
 4. Repeats are joined to their documents, and the bytes that they cover are cut out.
 
-Nothing is sampled or capped. Equality of runs in steps 1 and 2, and of windows of hot groups, is that of two 64-bit
-hashes.
+No group has to fit a task: K bytes with more than WIDE distinct strings are routed by 91 instead of K common bytes
+(runs are cut into stretches of windows that share them), those with more than NARROW by whole windows. The index does
+the same work at every width. Nothing is sampled or capped.
 
 Defined cases: null and empty texts have no bytes; texts shorter than LENGTH keep all; of equal strings the one of the
-smaller doc_id, then the earlier start stays; rows with a null doc_id take no part and lose nothing; rows that repeat
-a doc_id and its text count as one document, so neither is earlier than the other; an empty table gives no rows; extra
-columns pass through repeats() and without_repeats().
+smaller doc_id, then the earlier start stays; rows that repeat a doc_id and its text count as one document, so neither
+is earlier than the other; rows of one doc_id but different texts are different documents, ordered by a hash of the
+text; rows with a null doc_id take no part and lose nothing; very long texts are cut into overlapping segments; an
+empty table gives no rows; extra columns, whatever their names, pass through repeats() and without_repeats().
 """
 
 from __future__ import annotations
@@ -32,38 +34,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, text_bytes
+from .common import fresh, materialize, parts_for, text_bytes
 from .rlindex import RunLengthIndex
 from .wordbpe import SpanHash
 
 LENGTH = 100
 K = 24
-HOT = 512
+#: Distinct strings of a group beyond which its runs are cut to stretches that share 91 bytes, and to single windows.
+WIDE, NARROW = 512, 16384
+#: Windows of a stretch at each of these levels; level 0 is a whole run.
+WIDTHS = (LENGTH - K + 1, 10, 1)
 FLUSH_BYTES = 12 << 20
 BATCH_BYTES = 3 << 18
+SEGMENT = 1 << 20
+PLACE_BITS = 21  # of a place within a batch; the least K-byte hash is the least of the bits above
 PART_BYTES = 12 << 20
 INDEX_BYTES = 1 << 19
-REPEAT, RUNS, STRINGS, WINDOWS = 0, 1, 2, 3
-SCHEMA = "kind int, bucket long, n long, size long, blob binary"
-RUN = np.dtype([("k", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4")])
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
+REPEAT, RUNS, STRINGS, ASK, HOT = range(5)
+SCHEMA = "kind int, bucket long, n long, blob binary"
+RUN = np.dtype([("k", "<u8"), ("row", "<i8"), ("start", "<u4"), ("h", "<u4"), ("m", "<u2"), ("n", "u1"), ("twice", "u1")])
+STRING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1")])
+SPAN = np.dtype([("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4")])
 
 _HASH = SpanHash()
 
 
 def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int = K) -> dict[str, np.ndarray]:
-    """Runs of a batch of texts, given as bytes one after another and their lengths.
+    """Runs of a batch of texts, given as bytes one after another and their lengths; at most 2 ** PLACE_BITS bytes.
 
-    text, start (in the text), n (windows), k (hash of the K bytes), h (hash of the string of n + length - 1 bytes).
+    text, start (in the text), n (windows), k (hash of the K bytes), h (of the string of n + length - 1 bytes).
     """
     n = len(data)
-    empty = {x: np.empty(0, np.int64) for x in ("text", "start", "n", "at")} | {x: np.empty(0, np.uint64) for x in ("k", "h")}
+    assert n <= 1 << PLACE_BITS
+    empty = {x: np.empty(0, np.int64) for x in ("text", "start", "n")} | {x: np.empty(0, np.uint64) for x in ("k", "h")}
     if n < length:
         return empty
     begin = np.cumsum(size) - size
     place = np.arange(n - k + 1)
     gram = _HASH(data, place, place + k)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)
     low = gram >> bits << bits | place.view(np.uint64)  # the position breaks ties: the leftmost
     span = length - k + 1
     least, width = low, 1
@@ -83,59 +92,58 @@ def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int =
         return empty
     ends = np.flatnonzero(valid & np.append(first[1:] | ~valid[1:], True)) + 1
     count = ends - start
-    return {"text": owner[start], "start": start - begin[owner[start]], "n": count, "at": start, "k": gram[at[start]], "h": _HASH(data, start, start + count + length - 1)}
-
-
-def first_of_equal(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each class of equal runs, in order of k, h; and the others."""
-    order = np.lexsort((runs["start"], runs["doc"], runs["h"], runs["k"]))
-    runs = runs[order]
-    new, other = np.ones(len(runs), bool), np.ones(len(runs), bool)
-    new[1:] = (runs["k"][1:] != runs["k"][:-1]) | (runs["h"][1:] != runs["h"][:-1])
-    other[1:] = new[1:] | (runs["doc"][1:] != runs["doc"][:-1]) | (runs["start"][1:] != runs["start"][:-1])
-    return runs[new], runs[~new & other]
-
-
-def spans_of(runs: np.ndarray, length: int) -> np.ndarray:
-    """The stretches that runs cover, merged within each document."""
-    if not len(runs):
-        return np.empty(0, SPAN)
-    runs = runs[np.lexsort((runs["start"], runs["doc"]))]
-    end = runs["start"] + runs["n"] + length - 1
-    doc = runs["doc"]
-    fresh = np.ones(len(runs), bool)
-    group = np.cumsum(np.append(True, doc[1:] != doc[:-1]))
+    return {"text": owner[start], "start": start - begin[owner[start]], "n": count, "k": gram[at[start]], "h": _HASH(data, start, start + count + length - 1)}
+
+
+def stretches(part: bytes, n: int, level: int, key: int, length: int = LENGTH, k: int = K) -> Iterator[tuple[int, int, int]]:
+    """Of a run of n windows (its bytes): first window, windows and routing key of each stretch at a level.
+
+    Windows that start as far before the run's K bytes as others, within a stretch's width, share all bytes from there.
+    """
+    width = (length - k + 1, *WIDTHS[1:])[level]
+    place = np.arange(length - k + 1)
+    p = int(np.argmin(_HASH(np.frombuffer(part, np.uint8, length), place, place + k) >> np.uint64(PLACE_BITS)))
+    for i in range((p - n + 1) // width, p // width + 1):
+        a, b = max(0, p - width * i - width + 1), min(n - 1, p - width * i)
+        shared = part[p - width * i : p - width * i - width + 1 + length]
+        digest = hashlib.blake2b(shared, digest_size=8, key=key.to_bytes(8, "little") + i.to_bytes(2, "little"))
+        yield a, b - a + 1, int.from_bytes(digest.digest(), "little")
+
+
+def spans_of(spans: np.ndarray) -> np.ndarray:
+    """Spans (row, doc, start, size) merged within each document."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["doc"], spans["row"]))]
+    start = spans["start"].astype(np.int64)
+    end = start + spans["size"]
+    other = (spans["row"][1:] != spans["row"][:-1]) | (spans["doc"][1:] != spans["doc"][:-1])
+    group = np.cumsum(np.append(True, other))
     big = int(end.max()) + 1
     reach = np.maximum.accumulate(end + group * big) - group * big
-    fresh[1:] = (doc[1:] != doc[:-1]) | (runs["start"][1:] > reach[:-1])
-    at = np.flatnonzero(fresh)
-    out = np.empty(len(at), SPAN)
-    out["doc"], out["start"] = doc[at], runs["start"][at]
-    out["size"] = reach[np.append(at[1:], len(runs)) - 1] - out["start"]
+    fresh_ = np.append(True, other | (start[1:] > reach[:-1]))
+    at = np.flatnonzero(fresh_)
+    out = spans[at]
+    out["size"] = reach[np.append(at[1:], len(spans)) - 1] - start[at]
     return out
 
 
-def _row(kind: int, bucket: int, n: int, size: int, blob: bytes) -> tuple:
-    return kind, bucket, n, size, blob
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, bucket, n, size, blob = zip(*rows) if rows else ((),) * 5
-    return pa.record_batch([pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], ["kind", "bucket", "n", "size", "blob"])
+    kind, bucket, n, blob = zip(*rows) if rows else ((),) * 4
+    return pa.record_batch([pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["kind", "bucket", "n", "blob"])
 
 
-def _by_bucket(kind: int, runs: np.ndarray, buckets: int, by: str) -> list[tuple]:
-    """One row for each bucket that these runs go to."""
-    bucket = (runs[by] >> np.uint64(8)) % np.uint64(buckets)
+def _by_bucket(kind: int, runs: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """One row for each bucket that these records go to."""
     order = np.argsort(bucket, kind="stable")
     runs, bucket = runs[order], bucket[order]
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(runs) else []
-    return [_row(kind, int(bucket[a]), b - a, 0, runs[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(runs)])]
+    return [(kind, int(bucket[a]), b - a, runs[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(runs)])]
 
 
-def _repeats(runs: np.ndarray, length: int, buckets: int) -> list[tuple]:
-    spans = spans_of(runs, length)
-    return [_row(REPEAT, int(spans["start"][i] + spans["doc"][i]) % buckets, len(spans[i : i + 65536]), 0, spans[i : i + 65536].tobytes()) for i in range(0, len(spans), 65536)]
+def _spread(kind: int, records: np.ndarray, buckets: int) -> list[tuple]:
+    """Records that any bucket may take."""
+    return [(kind, int(records["row"][i]) % buckets, len(records[i : i + 65536]), records[i : i + 65536].tobytes()) for i in range(0, len(records), 65536)]
 
 
 def _each(column: pa.Array) -> Iterator:
@@ -150,186 +158,224 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 class _Texts:
-    """Documents gathered to batches of bytes."""
+    """Documents gathered to batches of bytes; long ones come in segments that share LENGTH - 1 bytes."""
 
     def __init__(self) -> None:
-        self.ids, self.raw, self.size = [], [], 0
-
-    def add(self, key: int, text: str | None) -> bool:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if len(raw) >= LENGTH:
-            self.ids.append(key)
-            self.raw.append(raw)
-            self.size += len(raw)
+        self.rows, self.base, self.raw, self.size = [], [], [], 0
+
+    def add(self, row: int, base: int, raw: bytes) -> bool:
+        self.rows.append(row)
+        self.base.append(base)
+        self.raw.append(raw)
+        self.size += len(raw)
         return self.size >= BATCH_BYTES
 
 
+def _segments(text: str | None, length: int) -> Iterator[tuple[int, bytes]]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    for at in range(0, len(raw) - length + 1, SEGMENT):
+        yield at, raw[at : at + SEGMENT + length - 1]
+
+
 def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Step 1: rows of runs for buckets, and of repeats within a batch."""
+    """Step 1 on row, text: a record of each K and batch for its bucket, and the other runs of the same K."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, texts = [], 0, _Texts()
 
         def cut() -> None:
-            if texts.ids:
+            if texts.rows:
                 got = cut_runs(np.frombuffer(b"".join(texts.raw), np.uint8), np.array([len(r) for r in texts.raw]), length)
-                runs = np.empty(len(got["k"]), RUN)
-                runs["k"], runs["h"], runs["start"], runs["n"] = got["k"], got["h"], got["start"], got["n"]
-                runs["doc"] = np.array(texts.ids)[got["text"]]
+                runs = np.zeros(len(got["k"]), RUN)
+                runs["k"], runs["n"], runs["h"] = got["k"], got["n"], (got["h"] >> np.uint64(32)).astype(np.uint32)
+                runs["row"], runs["start"] = np.array(texts.rows)[got["text"]], got["start"] + np.array(texts.base)[got["text"]]
                 held.append(runs)
 
         def flush() -> pa.RecordBatch:
-            first, rest = first_of_equal(np.concatenate(held)) if held else (np.empty(0, RUN), np.empty(0, RUN))
+            runs = np.concatenate(held) if held else np.empty(0, RUN)
             held.clear()
-            return _batch(_by_bucket(RUNS, first, buckets, "k") + _repeats(rest, length, buckets))
+            runs = runs[np.lexsort((runs["h"], runs["k"]))]
+            new = np.ones(len(runs), bool)
+            new[1:] = runs["k"][1:] != runs["k"][:-1]
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(runs)))
+            differs = np.append(True, runs["h"][1:] != runs["h"][:-1])[: len(runs)] | new
+            first = runs[at]
+            first["m"] = np.minimum(np.add.reduceat(differs, at, dtype=np.int64), 65535) if len(at) else 0
+            first["twice"] = count > 1
+            return _batch(_by_bucket(RUNS, first, (first["k"] >> np.uint64(8)) % np.uint64(buckets)) + _spread(ASK, runs[~new], buckets))
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), _each(b.column(1))):
-                if texts.add(key, text):
-                    cut()
-                    n += texts.size
-                    texts = _Texts()
-                if n >= FLUSH_BYTES:
-                    yield flush()
-                    n = 0
+            for row, text in zip(b.column(0).to_pylist(), _each(b.column(1))):
+                for base, raw in _segments(text, length):
+                    if texts.add(row, base, raw):
+                        cut()
+                        n += texts.size
+                        texts = _Texts()
+                    if n >= FLUSH_BYTES:
+                        yield flush()
+                        n = 0
         cut()
         yield flush()
 
-    return docs.select("__doc", "text").mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
+
 
+def _asked(runs: np.ndarray, kind: int, level: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(runs), 65536):
+        s = runs[i : i + 65536]
+        levels = level[i : i + 65536] if isinstance(level, np.ndarray) else np.full(len(s), level)
+        columns = (np.full(len(s), kind, np.int32), s["row"], s["start"].astype(np.int64), s["n"].astype(np.int32), s["k"].view(np.int64), levels.astype(np.int32))
+        yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns], ["kind", "row", "start", "n", "k", "level"])
 
-def meet(runs: DataFrame, length: int) -> DataFrame:
-    """Step 2 on the rows of a bucket: repeats (doc, start, size) and requests for bytes (n windows, hot or not)."""
+
+def meet(runs: DataFrame) -> DataFrame:
+    """Step 2 on the rows of a bucket: the runs whose bytes are wanted.
+
+    kind RUNS: with the level of their group; ASK: the level is that of the group's row of kind HOT, else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, repeats = [], []
+        held = []
         for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
-                (repeats if kind == REPEAT else held).append(np.frombuffer(blob, SPAN if kind == REPEAT else RUN))
+            for kind, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                if kind == ASK:
+                    yield from _asked(np.frombuffer(blob, RUN), ASK, 0)
+                else:
+                    held.append(np.frombuffer(blob, RUN))
         runs = np.concatenate(held) if held else np.empty(0, RUN)
-        del held
-        first, rest = first_of_equal(runs)
-        repeats.append(spans_of(rest, length))
-        spans = np.concatenate(repeats)
-        for i in range(0, len(spans), 65536):
-            s = spans[i : i + 65536]
-            yield _spans(s["doc"], s["start"], s["size"], np.zeros(len(s), np.int32), np.zeros(len(s), np.int64))
-        new = np.ones(len(first), bool)
-        new[1:] = first["k"][1:] != first["k"][:-1]
+        held.clear()
+        runs = runs[np.lexsort((runs["h"], runs["k"]))]
+        new = np.ones(len(runs), bool)
+        new[1:] = runs["k"][1:] != runs["k"][:-1]
+        at = np.flatnonzero(new)
+        if not len(at):
+            return
         group = np.cumsum(new) - 1
-        size = np.bincount(group)[group] if len(first) else np.empty(0, np.int64)
-        asked = first[size > 1]
-        hot = np.where(size[size > 1] > HOT, WINDOWS, STRINGS).astype(np.int32)
-        for i in range(0, len(asked), 65536):
-            s = asked[i : i + 65536]
-            yield _spans(s["doc"], s["start"], s["n"].astype(np.int64), hot[i : i + 65536], s["k"].view(np.int64))
+        shared = (np.diff(np.append(at, len(runs))) > 1) | (np.maximum.reduceat(runs["twice"], at) > 0)
+        different = np.append(True, runs["h"][1:] != runs["h"][:-1]) | new
+        # no fewer than the distinct strings of the group
+        size = np.add.reduceat(different, at, dtype=np.int64) + np.add.reduceat(runs["m"].astype(np.int64) - 1, at)
+        level = (size > WIDE).astype(np.int32) + (size > NARROW)
+        hot = shared & (level > 0)
+        yield from _asked(runs[at[hot]], HOT, level[hot])
+        yield from _asked(runs[shared[group]], RUNS, level[group][shared[group]])
+
+    return runs.mapInArrow(run, "kind int, row long, start long, n int, k long, level int")
 
-    return runs.mapInArrow(run, "doc long, start long, size long, kind int, k long")
 
+class _Strings:
+    """Distinct strings by routing key and bytes, with their first place; the places of the others are repeats."""
 
-def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in (doc, start, size, kind, k)], ["doc", "start", "size", "kind", "k"])
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, bytes], tuple] = {}
+        self.repeats: list[tuple] = []
+        self.size = 0
+
+    def add(self, key: int, part: bytes, place: tuple[int, int, int]) -> None:
+        """place: doc, row, start."""
+        known = self.first.setdefault((key, part), place)
+        if known is place:
+            self.size += len(part) + 64
+        elif known != place:  # else a row that repeats a document
+            if place < known:
+                self.first[key, part], place = place, known
+            self.repeats.append((place[1], place[0], place[2], len(part)))
+            self.size += 24
+
+    def spans(self) -> np.ndarray:
+        out = spans_of(np.array(self.repeats, SPAN))
+        self.repeats = []
+        return out
 
 
 def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Step 3, first half, on doc, text, spans (start, size, kind, k): the bytes asked for, by bucket."""
+    """Step 3, first half, on doc, row, text, asked (start, n, k, level): the bytes asked for, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        windows, size = [], 0
+        held = _Strings()
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            for bucket, (heads, raws) in held.items():
-                head = np.array(heads, RUN)
-                rows.append(_row(STRINGS, bucket, len(head), 0, head.tobytes() + b"".join(raws)))
-            if windows:
-                first, rest = first_of_equal(np.concatenate(windows))
-                rows += _by_bucket(WINDOWS, first, buckets, "h") + _repeats(rest, length, buckets)
-            held.clear()
-            windows.clear()
-            return _batch(rows)
+            by: dict[int, tuple[list, list]] = {}
+            for (key, part), (doc, row, start) in held.first.items():
+                heads, parts = by.setdefault((key >> 8) % buckets, ([], []))
+                heads.append((key, doc, row, start, len(part) - length + 1))
+                parts.append(part)
+            rows = [(STRINGS, bucket, len(heads), np.array(heads, STRING).tobytes() + b"".join(parts)) for bucket, (heads, parts) in by.items()]
+            return _batch(rows + _spread(REPEAT, held.spans(), buckets))
 
         for b in batches:
-            at, spans = _lists(b.column(b.num_columns - 1))
-            for row in np.flatnonzero(np.diff(at)).tolist():
-                key, raw = b.column(0)[row].as_py(), (b.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass")
-                own = slice(int(at[row]), int(at[row + 1]))
-                for start, n, kind, k in zip(*(spans[x][own].tolist() for x in ("start", "size", "kind", "k"))):
+            at, spans = _lists(b.column(3))
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                doc, row, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), (b.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
+                if doc is None:
+                    continue
+                own = slice(int(at[i]), int(at[i + 1]))
+                for start, n, k, level in zip(*(spans[x][own].tolist() for x in ("start", "n", "k", "level"))):
                     k &= (1 << 64) - 1
                     part = raw[start : start + n + length - 1]
-                    if kind == STRINGS:
-                        heads, raws = held.setdefault((k >> 8) % buckets, ([], []))
-                        heads.append((k, 0, key, start, n))
-                        raws.append(part)
-                        size += len(part)
+                    if level == 0:
+                        held.add(k, part, (doc, row, start))
                     else:
-                        data, place = np.frombuffer(part, np.uint8), np.arange(n)
-                        w = np.empty(n, RUN)
-                        w["k"], w["h"], w["doc"], w["start"], w["n"] = k, _HASH(data, place, place + length), key, start + place, 1
-                        windows.append(w)
-                        size += w.nbytes
-                    if size >= FLUSH_BYTES // 2:
-                        yield flush()
-                        size = 0
+                        for a, m, key in stretches(part, n, level, k, length):
+                            held.add(key, part[a : a + m + length - 1], (doc, row, start + a))
+                if held.size >= FLUSH_BYTES // 2:
+                    yield flush()
+                    held = _Strings()
         yield flush()
 
     return asked.mapInArrow(run, SCHEMA)
 
 
 def index_strings(strings: DataFrame, length: int) -> DataFrame:
-    """Step 3, second half, on the rows of buckets: repeats (doc, start, size)."""
-
-    def groups(blobs: list[bytes], counts: list[int]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-        """Strings of whole groups (equal K bytes) of a bucket, about INDEX_BYTES at a time."""
-        heads, parts = [], []
-        for blob, n in zip(blobs, counts):
-            head = np.frombuffer(blob, RUN, n)
-            at = n * RUN.itemsize + np.concatenate([[0], np.cumsum(head["n"] + length - 1)])
-            heads.append(head)
-            parts += [blob[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        head = np.concatenate(heads)
-        order = np.argsort(head["k"], kind="stable")
-        size = np.cumsum(head["n"][order] + length)
-        last = np.append(head["k"][order][1:] != head["k"][order][:-1], True)
-        at = 0
-        for i in np.flatnonzero(last).tolist():
-            if i + 1 == len(order) or size[i] - (size[at - 1] if at else 0) >= INDEX_BYTES:
-                pick = order[at : i + 1]
-                pick = pick[np.lexsort((head["start"][pick], head["doc"][pick]))]
-                again = np.flatnonzero(head[pick][1:] == head[pick][:-1]) + 1  # strings of rows that repeat a document
-                pick = np.delete(pick, [x for x in again.tolist() if parts[pick[x]] == parts[pick[x - 1]]])
-                yield head[pick], [parts[j] for j in pick.tolist()]
-                at = i + 1
+    """Step 3, second half, on the rows of buckets: repeats (row, doc, start, size)."""
+
+    def groups(held: _Strings) -> Iterator[list[tuple]]:
+        """Strings of whole groups (equal routing keys), about INDEX_BYTES at a time, in order of place."""
+        some, size, last = [], 0, None
+        for (key, part), place in sorted(held.first.items(), key=lambda x: x[0][0]):
+            if key != last and size >= INDEX_BYTES:
+                yield sorted(some)
+                some, size = [], 0
+            some.append((place, part))
+            size += len(part)
+            last = key
+        if some:
+            yield sorted(some)
+
+    def found(some: list[tuple]) -> np.ndarray:
+        size = np.array([len(part) for _, part in some])
+        which, offset = RunLengthIndex(np.frombuffer(b"".join(part for _, part in some), np.uint8), size).repeated(length)
+        doc, row, start = (np.array([place[i] for place, _ in some], np.int64) for i in range(3))
+        out = np.empty(len(which), SPAN)
+        out["row"], out["doc"], out["start"], out["size"] = row[which], doc[which], start[which] + offset, length
+        return spans_of(out)
+
+    def emit(spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(spans), 65536):
+            s = spans[i : i + 65536]
+            yield pa.record_batch([pa.array(s[x].astype(np.int64)) for x in ("row", "doc", "start", "size")], ["row", "doc", "start", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        windows, out = [], []
+        held = _Strings()
         for b in batches:
-            for kind, bucket, n, blob in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
+            for kind, n, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if kind == REPEAT:
-                    out.append(np.frombuffer(blob, SPAN))
-                elif kind == WINDOWS:
-                    windows.append(np.frombuffer(blob, RUN))
-                else:
-                    blobs, counts = held.setdefault(bucket, ([], []))
-                    blobs.append(blob)
-                    counts.append(n)
-        if windows:
-            out.append(spans_of(first_of_equal(np.concatenate(windows))[1], length))
-        for bucket in list(held):
-            for head, parts in groups(*held.pop(bucket)):
-                index = RunLengthIndex(np.frombuffer(b"".join(parts), np.uint8), head["n"].astype(np.int64) + length - 1, length)
-                which, offset = index.repeated()
-                found = np.empty(len(which), RUN)
-                found["doc"], found["start"], found["n"] = head["doc"][which], head["start"][which] + offset, 1
-                out.append(spans_of(found, length))
-        spans = np.concatenate(out) if out else np.empty(0, SPAN)
-        for i in range(0, len(spans), 65536):
-            s = spans[i : i + 65536]
-            yield pa.record_batch([pa.array(np.ascontiguousarray(s[x])) for x in ("doc", "start", "size")], ["doc", "start", "size"])
-
-    return strings.mapInArrow(run, "doc long, start long, size long")
+                    yield from emit(np.frombuffer(blob, SPAN))
+                    continue
+                heads, at = np.frombuffer(blob, STRING, n).tolist(), n * STRING.itemsize
+                for key, doc, row, start, windows in heads:
+                    held.add(key, blob[at : at + windows + length - 1], (doc, row, start))
+                    at += windows + length - 1
+            if len(held.repeats) >= 65536:
+                yield from emit(held.spans())
+        yield from emit(held.spans())
+        out = []
+        for some in groups(held):
+            out.append(found(some))
+        yield from emit(spans_of(np.concatenate(out)) if out else np.empty(0, SPAN))
+
+    return strings.mapInArrow(run, "row long, doc long, start long, size long")
 
 
 def merged(start: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -343,19 +389,21 @@ def merged(start: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int]]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents and, in __spans, the stretches (start, size; in bytes) that earlier strings cover."""
-    spark = docs.sparkSession
-    volume = text_bytes(docs)
-    n = parts_for(spark, volume, PART_BYTES)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    places = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text", *rest)
-    plain = materialize(meet(runs_of(places.where("__doc is not null"), n, length).repartitionById(n, F.col("bucket").cast("int")), length), "repeat-runs")
-    by_doc = lambda df, *cols: df.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "size", *cols)).alias("__spans"))
-    placed = places.repartition(n, "__doc")
-    asked = placed.join(by_doc(plain.where(F.col("kind") != REPEAT), "kind", "k"), "__doc", "left")
-    strings = strings_of(asked, n, length).repartitionById(n, F.col("bucket").cast("int"))
-    found = index_strings(strings, length).union(plain.where(F.col("kind") == REPEAT).select("doc", "start", "size"))
-    return placed.join(by_doc(found), "__doc", "left").withColumnRenamed("__doc", "doc_id")
+    """The documents and, in a last column, the stretches (start, size; in bytes) that earlier strings cover."""
+    n = parts_for(docs.sparkSession, text_bytes(docs), PART_BYTES)
+    row, doc, spans = (fresh(docs, x) for x in ("row", "doc", "spans"))
+    placed = docs.withColumns({doc: F.col("doc_id").cast("long"), row: F.xxhash64("doc_id", "text")})
+    wanted = runs_of(placed.where(F.col(doc).isNotNull()).select(row, "text"), n, length).repartitionById(n, F.col("bucket").cast("int"))
+    wanted = materialize(meet(wanted), "repeat-runs")
+    hot = wanted.where(F.col("kind") == HOT).select("k", F.col("level").alias("hot"))
+    asked = wanted.where(F.col("kind") == ASK).join(hot, "k", "left").select("row", "start", "n", "k", F.coalesce("hot", "level").alias("level"))
+    asked = asked.union(wanted.where(F.col("kind") == RUNS).select("row", "start", "n", "k", "level"))
+    by_row = lambda df, *cols: df.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct(*cols)).alias(spans))
+    placed = placed.repartition(n, row)
+    strings = strings_of(placed.join(by_row(asked, "start", "n", "k", "level"), row, "left").select(doc, row, "text", spans), n, length).repartitionById(n, F.col("bucket").cast("int"))
+    found = placed.join(by_row(index_strings(strings, length), "doc", "start", "size"), row, "left")
+    own = F.transform(F.filter(spans, lambda x: x["doc"] == F.col(doc)), lambda x: F.struct(x["start"], x["size"]))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], own.alias(spans))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -388,7 +436,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.record_batch(columns, b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    out = found.mapInArrow(run, found.drop("__spans").schema)
+    out = found.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -413,4 +461,4 @@ def digests(found: DataFrame) -> DataFrame:
             n, removed, count, digest = zip(*rows) if rows else ((),) * 4
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "__spans").mapInArrow(run, schema)
+    return found.select(F.col("doc_id").cast("long"), "text", found.columns[-1]).mapInArrow(run, schema)

@@ -245,9 +245,11 @@ def test_nothing_to_learn(spark):
 # 7
 
 
-def removed_by_brute_force(rows, length=100):
+def removed_by_brute_force(spark, rows, length=100):
+    """By doc_id and text; rows of one doc_id but different texts come in the order of the operator's hash."""
+    whole = spark.createDataFrame([(r[0], r[1]) for r in rows if r[0] is not None], "doc_id long, text string").distinct()
     seen, out = set(), {}
-    for k, t in sorted({r[0]: r[1] for r in rows if r[0] is not None}.items()):
+    for k, t in [tuple(r) for r in whole.orderBy("doc_id", F.xxhash64("doc_id", "text")).collect()]:
         raw, cover = (t or "").encode(), np.zeros(len((t or "").encode()) + 1, int)
         for i in range(len(raw) - length + 1):
             w = raw[i : i + length]
@@ -257,16 +259,35 @@ def removed_by_brute_force(rows, length=100):
             seen.add(w)
         gone = np.cumsum(cover)[:-1] > 0
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        out[k] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        out[k, t] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 512])
-def test_repeats_equal_brute_force(spark, rows, monkeypatch, hot):
-    monkeypatch.setattr(op7_repeats, "HOT", hot)
-    monkeypatch.setattr(op7_repeats, "INDEX_BYTES", 5000)
-    got = {r.doc_id: tuple(r)[1:] for r in op7_repeats.digests(op7_repeats.repeats(frame(spark, [r for r in rows if r[0] != 1006]))).collect()}
-    assert got == removed_by_brute_force([r for r in rows if r[0] != 1006])
+def removed(spark, rows):
+    df = frame(spark, rows)
+    found = op7_repeats.repeats(df)
+    return [((r.doc_id, r.text), tuple(x)[1:]) for r, x in zip(found.select("doc_id", "text").collect(), op7_repeats.digests(found).collect(), strict=True)]
+
+
+@pytest.mark.parametrize("wide,narrow", [(512, 16384), (0, 16384), (0, 0)])
+def test_repeats_equal_brute_force(spark, rows, monkeypatch, wide, narrow):
+    for name, value in (("WIDE", wide), ("NARROW", narrow), ("INDEX_BYTES", 5000), ("FLUSH_BYTES", 40_000), ("SEGMENT", 30_000)):
+        monkeypatch.setattr(op7_repeats, name, value)
+    r = random.Random(21)
+    text = next(x[1] for x in rows if x[0] == 1006)
+    more = [*rows, (5000, "before " + text[500:1500] + " after " + prose(r, 50), None, None, None, "", 0, 0)]
+    # one doc_id, two texts: what only one of them repeats stays in the other
+    alone, twice = prose(r, 80), prose(r, 80)
+    more += [(7000, k, None, None, None, "", 0, 0) for k in (twice + alone, prose(r, 40) + twice, alone.upper() + prose(r, 90))]
+    more += [(8000 + i, prose(r, 3) + " all pages end with this line, word by word, and nobody reads what it says in the end or the beginning " + prose(r, 3), None, None, None, "", 0, 0) for i in range(60)]
+    more += [(9000 + i, f"{i} " + alone, None, None, None, "", 0, 0) for i in range(5)] + [(None, alone, None, None, None, "", 0, 0)]
+    got, want = removed(spark, more), removed_by_brute_force(spark, more)
+    assert len(got) == len(more)
+    for key, found in got:
+        if key[0] is None:
+            assert found[1] == 0
+        else:
+            assert found == want[key], key
 
 
 def test_repeated_rows_and_null_ids_lose_nothing(spark):
@@ -276,18 +297,12 @@ def test_repeated_rows_and_null_ids_lose_nothing(spark):
     assert op7_repeats.digests(op7_repeats.repeats(empty(spark))).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0, 512])
-def test_repeated_rows_with_contested_passages_equal_brute_force(spark, rows, monkeypatch, hot):
-    monkeypatch.setattr(op7_repeats, "HOT", hot)
-    monkeypatch.setattr(op7_repeats, "INDEX_BYTES", 5000)
-    r = random.Random(21)
-    text = next(x[1] for x in rows if x[0] == 1006)
-    more = [x for x in rows if x[0] != 1006]
-    for key, body in ((1006, text), (1006, text), (5000, "before " + text[500:1500] + " after " + prose(r, 50)), (5000, None)):
-        more.append((key, body if body else more[-1][1], None, None, None, "", 0, 0))
-    got = op7_repeats.digests(op7_repeats.repeats(frame(spark, more))).collect()
-    want = removed_by_brute_force(more)
-    assert len(got) == len(more) and all(tuple(x)[1:] == want[x.doc_id] for x in got)
+def test_repeats_beside_columns_of_the_same_names(spark):
+    text = prose(random.Random(8), 100)
+    names = "doc_id long, text string, row string, doc int, spans string, Start long, k int, kind int"
+    df = spark.createDataFrame([(1, text, "r", 1, "s", 2, 3, 4), (2, text + " more", "r", 1, "s", 2, 3, 4)], names)
+    got = op7_repeats.without_repeats(df).orderBy("doc_id").collect()
+    assert [c for c in got[0].asDict()] == df.columns and got[0].text == text and got[1].text == " more" and got[1].spans == "s"
 
 
 def test_texts_without_repeats_stay_utf8(spark):
@@ -310,7 +325,8 @@ def test_run_length_index_equals_brute_force(length):
             if len(s) and rng.random() < 0.5:
                 s[rng.integers(0, len(s))] = rng.integers(0, 256)
             strings.append(s)
-        got = set(zip(*(x.tolist() for x in RunLengthIndex(np.concatenate(strings), np.array([len(s) for s in strings]), length).repeated())))
+        index = RunLengthIndex(np.concatenate(strings), np.array([len(s) for s in strings]))
+        got = set(zip(*(x.tolist() for x in index.repeated(length))))
         seen, want = set(), set()
         for i, s in enumerate(strings):
             for o in range(len(s) - length + 1):
@@ -321,6 +337,24 @@ def test_run_length_index_equals_brute_force(length):
         assert got == want
 
 
+def test_matching_statistics_are_the_longest_matches_elsewhere():
+    rng, shared = np.random.default_rng(3), lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    for _ in range(20):
+        strings = [bytes(rng.integers(97, 100, rng.integers(1, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 6))]
+        index = RunLengthIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]))
+        whole = [(i, o) for i, s in enumerate(strings) for o in range(len(s))]
+        at = {int(index.start[i]) + o: (i, o) for i, o in whole}
+        seen = 0
+        for lane, offset, above, over, below, under in index.stream():
+            for i, o, *sides in zip(*(x.tolist() for x in (lane, offset, above, over, below, under))):
+                seen += 1
+                text = strings[i][o:]
+                assert max(sides[1], sides[3]) == max((shared(text, strings[j][p:]) for j, p in whole if (i, o) != (j, p)), default=0)
+                for place, n in (sides[:2], sides[2:]):
+                    assert not n or shared(text, strings[at[place][0]][at[place][1] :]) == n
+        assert seen == len(whole)
+
+
 # 8
 
 
