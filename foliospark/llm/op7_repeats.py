@@ -10,7 +10,8 @@ same position form a run, about one for every 39 bytes, and equal windows lie in
 3. The bytes of shared runs, cut from the documents, go to the buckets of their K bytes; equal strings, compared byte by
    byte, travel once for each batch. Over the distinct strings of a bucket's groups a run-length index is built (see
    rlindex), all are streamed through it, and a window is a repeat if its matching statistic reaches LENGTH at an earlier
-   place. Of equal strings the first is indexed; the matches of the others are that string itself.
+   place. Of equal strings the first is indexed; the matches of the others are that string itself. Strings that share no
+   81 bytes around K with another of their group match nowhere and are left out.
 4. Repeats are joined to their documents, and the bytes that they cover are cut out.
 
 No group has to fit a task: K bytes with more than WIDE distinct strings are routed by 91 instead of K common bytes
@@ -52,8 +53,8 @@ PART_BYTES = 12 << 20
 INDEX_BYTES = 1 << 19
 REPEAT, RUNS, STRINGS, ASK, HOT = range(5)
 SCHEMA = "kind int, bucket long, n long, blob binary"
-RUN = np.dtype([("k", "<u8"), ("row", "<i8"), ("start", "<u4"), ("h", "<u4"), ("m", "<u2"), ("n", "u1"), ("twice", "u1")])
-STRING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1")])
+RUN = np.dtype([("k", "<u8"), ("row", "<i8"), ("start", "<u4"), ("h", "<u4"), ("m", "<u2"), ("n", "u1"), ("p", "u1"), ("twice", "u1")])
+STRING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1"), ("p", "u1")])
 SPAN = np.dtype([("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4")])
 
 _HASH = SpanHash()
@@ -62,11 +63,12 @@ _HASH = SpanHash()
 def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int = K) -> dict[str, np.ndarray]:
     """Runs of a batch of texts, given as bytes one after another and their lengths; at most 2 ** PLACE_BITS bytes.
 
-    text, start (in the text), n (windows), k (hash of the K bytes), h (of the string of n + length - 1 bytes).
+    text, start (in the text), n (windows), p (place of the K bytes from start), k (their hash), h (hash of the string of
+    n + length - 1 bytes).
     """
     n = len(data)
     assert n <= 1 << PLACE_BITS
-    empty = {x: np.empty(0, np.int64) for x in ("text", "start", "n")} | {x: np.empty(0, np.uint64) for x in ("k", "h")}
+    empty = {x: np.empty(0, np.int64) for x in ("text", "start", "n", "p")} | {x: np.empty(0, np.uint64) for x in ("k", "h")}
     if n < length:
         return empty
     begin = np.cumsum(size) - size
@@ -92,22 +94,16 @@ def cut_runs(data: np.ndarray, size: np.ndarray, length: int = LENGTH, k: int =
         return empty
     ends = np.flatnonzero(valid & np.append(first[1:] | ~valid[1:], True)) + 1
     count = ends - start
-    return {"text": owner[start], "start": start - begin[owner[start]], "n": count, "k": gram[at[start]], "h": _HASH(data, start, start + count + length - 1)}
+    return {"text": owner[start], "start": start - begin[owner[start]], "n": count, "p": at[start] - start, "k": gram[at[start]], "h": _HASH(data, start, start + count + length - 1)}
 
 
-def stretches(part: bytes, n: int, level: int, key: int, length: int = LENGTH, k: int = K) -> Iterator[tuple[int, int, int]]:
-    """Of a run of n windows (its bytes): first window, windows and routing key of each stretch at a level.
-
-    Windows that start as far before the run's K bytes as others, within a stretch's width, share all bytes from there.
-    """
-    width = (length - k + 1, *WIDTHS[1:])[level]
-    place = np.arange(length - k + 1)
-    p = int(np.argmin(_HASH(np.frombuffer(part, np.uint8, length), place, place + k) >> np.uint64(PLACE_BITS)))
+def stretches(n: int, p: int, width: int, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """Of a run of n windows with its K bytes at p: number, first window and windows of each stretch, and from where to
+    where its windows share all bytes. Windows of a stretch start nearly as far before K, within width."""
     for i in range((p - n + 1) // width, p // width + 1):
-        a, b = max(0, p - width * i - width + 1), min(n - 1, p - width * i)
-        shared = part[p - width * i : p - width * i - width + 1 + length]
-        digest = hashlib.blake2b(shared, digest_size=8, key=key.to_bytes(8, "little") + i.to_bytes(2, "little"))
-        yield a, b - a + 1, int.from_bytes(digest.digest(), "little")
+        at = p - width * i
+        a, b = max(0, at - width + 1), min(n - 1, at)
+        yield i, a, b - a + 1, at, at - width + 1 + length
 
 
 def spans_of(spans: np.ndarray) -> np.ndarray:
@@ -187,7 +183,7 @@ def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             if texts.rows:
                 got = cut_runs(np.frombuffer(b"".join(texts.raw), np.uint8), np.array([len(r) for r in texts.raw]), length)
                 runs = np.zeros(len(got["k"]), RUN)
-                runs["k"], runs["n"], runs["h"] = got["k"], got["n"], (got["h"] >> np.uint64(32)).astype(np.uint32)
+                runs["k"], runs["n"], runs["p"], runs["h"] = got["k"], got["n"], got["p"], (got["h"] >> np.uint64(32)).astype(np.uint32)
                 runs["row"], runs["start"] = np.array(texts.rows)[got["text"]], got["start"] + np.array(texts.base)[got["text"]]
                 held.append(runs)
 
@@ -225,14 +221,14 @@ def _asked(runs: np.ndarray, kind: int, level: np.ndarray | int) -> Iterator[pa.
     for i in range(0, len(runs), 65536):
         s = runs[i : i + 65536]
         levels = level[i : i + 65536] if isinstance(level, np.ndarray) else np.full(len(s), level)
-        columns = (np.full(len(s), kind, np.int32), s["row"], s["start"].astype(np.int64), s["n"].astype(np.int32), s["k"].view(np.int64), levels.astype(np.int32))
+        columns = (np.full(len(s), kind, np.int32), s["row"], s["start"].astype(np.int64), s["n"].astype(np.int32) | s["p"].astype(np.int32) << 8, s["k"].view(np.int64), levels.astype(np.int32))
         yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns], ["kind", "row", "start", "n", "k", "level"])
 
 
 def meet(runs: DataFrame) -> DataFrame:
     """Step 2 on the rows of a bucket: the runs whose bytes are wanted.
 
-    kind RUNS: with the level of their group; ASK: the level is that of the group's row of kind HOT, else 0.
+    n: windows, and above 8 bits the place of K; kind RUNS: with the level of their group; ASK: the level is that of the group's row of kind HOT, else 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +268,8 @@ class _Strings:
         self.repeats: list[tuple] = []
         self.size = 0
 
-    def add(self, key: int, part: bytes, place: tuple[int, int, int]) -> None:
-        """place: doc, row, start."""
+    def add(self, key: int, part: bytes, place: tuple[int, int, int, int]) -> None:
+        """place: doc, row, start, place of K."""
         known = self.first.setdefault((key, part), place)
         if known is place:
             self.size += len(part) + 64
@@ -289,36 +285,38 @@ class _Strings:
         return out
 
 
-def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Step 3, first half, on doc, row, text, asked (start, n, k, level): the bytes asked for, by bucket."""
+def strings_of(asked: DataFrame, row: str, spans: str, buckets: int, length: int) -> DataFrame:
+    """Step 3, first half, on the documents with their number and lists (start, n, k, level): the bytes, by bucket."""
+    at_doc, at_row, at_text, at_spans = (asked.columns.index(x) for x in ("doc_id", row, "text", spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Strings()
 
         def flush() -> pa.RecordBatch:
             by: dict[int, tuple[list, list]] = {}
-            for (key, part), (doc, row, start) in held.first.items():
+            for (key, part), place in held.first.items():
                 heads, parts = by.setdefault((key >> 8) % buckets, ([], []))
-                heads.append((key, doc, row, start, len(part) - length + 1))
+                heads.append((key, *place[:3], len(part) - length + 1, place[3]))
                 parts.append(part)
             rows = [(STRINGS, bucket, len(heads), np.array(heads, STRING).tobytes() + b"".join(parts)) for bucket, (heads, parts) in by.items()]
             return _batch(rows + _spread(REPEAT, held.spans(), buckets))
 
         for b in batches:
-            at, spans = _lists(b.column(3))
+            at, lists = _lists(b.column(at_spans))
             for i in np.flatnonzero(np.diff(at)).tolist():
-                doc, row, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), (b.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
+                doc, number, raw = b.column(at_doc)[i].as_py(), b.column(at_row)[i].as_py(), (b.column(at_text)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 if doc is None:
                     continue
-                own = slice(int(at[i]), int(at[i + 1]))
-                for start, n, k, level in zip(*(spans[x][own].tolist() for x in ("start", "n", "k", "level"))):
-                    k &= (1 << 64) - 1
+                doc, own = int(doc), slice(int(at[i]), int(at[i + 1]))
+                for start, n, k, level in zip(*(lists[x][own].tolist() for x in ("start", "n", "k", "level"))):
+                    n, p, k = n & 255, n >> 8, k & (1 << 64) - 1
                     part = raw[start : start + n + length - 1]
                     if level == 0:
-                        held.add(k, part, (doc, row, start))
-                    else:
-                        for a, m, key in stretches(part, n, level, k, length):
-                            held.add(key, part[a : a + m + length - 1], (doc, row, start + a))
+                        held.add(k, part, (doc, number, start, p))
+                        continue
+                    for j, a, m, x, y in stretches(n, p, WIDTHS[level], length):
+                        shared = hashlib.blake2b(part[x:y], digest_size=8, key=k.to_bytes(8, "little") + j.to_bytes(2, "little"))
+                        held.add(int.from_bytes(shared.digest(), "little"), part[a : a + m + length - 1], (doc, number, start + a, p - a))
                 if held.size >= FLUSH_BYTES // 2:
                     yield flush()
                     held = _Strings()
@@ -327,19 +325,34 @@ def strings_of(asked: DataFrame, buckets: int, length: int) -> DataFrame:
     return asked.mapInArrow(run, SCHEMA)
 
 
+def alike(some: list[tuple], length: int, width: int = 20) -> list[tuple]:
+    """Of the strings (place, part) of a group those that share the bytes of a stretch with another of them."""
+    met: dict[tuple[int, bytes], int] = {}
+    keep = [False] * len(some)
+    for i, ((*_, p), part) in enumerate(some):
+        for j, _, _, x, y in stretches(len(part) - length + 1, p, width, length):
+            first = met.setdefault((j, part[x:y]), i)
+            if first != i:
+                keep[first] = keep[i] = True
+    return [x for x, k in zip(some, keep) if k]
+
+
 def index_strings(strings: DataFrame, length: int) -> DataFrame:
     """Step 3, second half, on the rows of buckets: repeats (row, doc, start, size)."""
 
     def groups(held: _Strings) -> Iterator[list[tuple]]:
         """Strings of whole groups (equal routing keys), about INDEX_BYTES at a time, in order of place."""
-        some, size, last = [], 0, None
-        for (key, part), place in sorted(held.first.items(), key=lambda x: x[0][0]):
-            if key != last and size >= INDEX_BYTES:
-                yield sorted(some)
-                some, size = [], 0
-            some.append((place, part))
-            size += len(part)
-            last = key
+        by: dict[int, list[tuple]] = {}
+        for (key, part), place in held.first.items():
+            by.setdefault(key, []).append((place, part))
+        some, size = [], 0
+        for group in by.values():
+            if len(group) > 1 and (group := alike(group, length)):
+                some += group
+                size += sum(len(part) for _, part in group)
+                if size >= INDEX_BYTES:
+                    yield sorted(some)
+                    some, size = [], 0
         if some:
             yield sorted(some)
 
@@ -364,15 +377,13 @@ def index_strings(strings: DataFrame, length: int) -> DataFrame:
                     yield from emit(np.frombuffer(blob, SPAN))
                     continue
                 heads, at = np.frombuffer(blob, STRING, n).tolist(), n * STRING.itemsize
-                for key, doc, row, start, windows in heads:
-                    held.add(key, blob[at : at + windows + length - 1], (doc, row, start))
+                for key, doc, row, start, windows, p in heads:
+                    held.add(key, blob[at : at + windows + length - 1], (doc, row, start, p))
                     at += windows + length - 1
             if len(held.repeats) >= 65536:
                 yield from emit(held.spans())
         yield from emit(held.spans())
-        out = []
-        for some in groups(held):
-            out.append(found(some))
+        out = [found(some) for some in groups(held)]
         yield from emit(spans_of(np.concatenate(out)) if out else np.empty(0, SPAN))
 
     return strings.mapInArrow(run, "row long, doc long, start long, size long")
@@ -391,18 +402,18 @@ def merged(start: np.ndarray, size: np.ndarray, n: int) -> list[tuple[int, int]]
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents and, in a last column, the stretches (start, size; in bytes) that earlier strings cover."""
     n = parts_for(docs.sparkSession, text_bytes(docs), PART_BYTES)
-    row, doc, spans = (fresh(docs, x) for x in ("row", "doc", "spans"))
-    placed = docs.withColumns({doc: F.col("doc_id").cast("long"), row: F.xxhash64("doc_id", "text")})
-    wanted = runs_of(placed.where(F.col(doc).isNotNull()).select(row, "text"), n, length).repartitionById(n, F.col("bucket").cast("int"))
+    row, spans = fresh(docs, "row"), fresh(docs, "spans")
+    placed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    wanted = runs_of(placed.where(F.col("doc_id").isNotNull()).select(row, "text"), n, length).repartitionById(n, F.col("bucket").cast("int"))
     wanted = materialize(meet(wanted), "repeat-runs")
     hot = wanted.where(F.col("kind") == HOT).select("k", F.col("level").alias("hot"))
     asked = wanted.where(F.col("kind") == ASK).join(hot, "k", "left").select("row", "start", "n", "k", F.coalesce("hot", "level").alias("level"))
     asked = asked.union(wanted.where(F.col("kind") == RUNS).select("row", "start", "n", "k", "level"))
     by_row = lambda df, *cols: df.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct(*cols)).alias(spans))
-    placed = placed.repartition(n, row)
-    strings = strings_of(placed.join(by_row(asked, "start", "n", "k", "level"), row, "left").select(doc, row, "text", spans), n, length).repartitionById(n, F.col("bucket").cast("int"))
+    placed = placed.repartition(n, row)  # both joins read this exchange, so both take all columns
+    strings = strings_of(placed.join(by_row(asked, "start", "n", "k", "level"), row, "left"), row, spans, n, length).repartitionById(n, F.col("bucket").cast("int"))
     found = placed.join(by_row(index_strings(strings, length), "doc", "start", "size"), row, "left")
-    own = F.transform(F.filter(spans, lambda x: x["doc"] == F.col(doc)), lambda x: F.struct(x["start"], x["size"]))
+    own = F.transform(F.filter(spans, lambda x: x["doc"] == F.col("doc_id").cast("long")), lambda x: F.struct(x["start"], x["size"]))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], own.alias(spans))
 
 
