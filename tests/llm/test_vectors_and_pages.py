@@ -20,9 +20,10 @@ def brute(vectors, k=10):
 def test_top_k_equals_brute_force(spark, monkeypatch, dim):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(op1_vafile, "VECTORS_PER_GROUP", 50)
+    monkeypatch.setattr(op1_vafile, "GROUP_BLOCKS", 2)
     monkeypatch.setattr(op1_vafile, "BLOCK", 16)
-    monkeypatch.setattr(op1_vafile, "STEP", 4)
+    monkeypatch.setattr(op1_vafile, "SLICE", 4)
+    monkeypatch.setattr(op1_vafile, "QUERY_BLOCK", 5)
     rng = np.random.default_rng(dim)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=dim).round(1)]) for i in range(0, 900, 5)]
     rows += [(10_000, None), (10_100, []), (10_200, [None] * dim), (10_300, [float("nan")] * dim), (10_400, [float("inf")] * dim), (None, [1.0] * dim), (10_500, [0.5] * (dim + 1)), (7, [0.0] * dim), (8, [0.0] * dim)]
