@@ -4,11 +4,13 @@ A flat file is a run of fixed-width little-endian token ids in which every docum
 no index. Files are cut into blocks without regard to documents. Each block is searched for the separator with one
 vector comparison. Blocks are then stitched with an exclusive prefix scan over their summaries: how many tokens and
 separators precede a block, and where the last separator before it was. The scan has two levels, of FAN blocks each,
-so that no task orders all blocks of a large file.
+so that no task orders all blocks of a large file. Only summaries of blocks (tokens, separators, place of the last one)
+go through the scan; the places of separators meet its result at the end.
 
 Defined cases: two separators in a row are a document of no tokens; tokens after a file's last separator are a last
 document that is marked as not ended; an empty file has no documents; an empty table gives no rows. For the tables:
-null and empty texts are documents of no tokens, repeated rows are counted each, extra columns are ignored.
+null ids, null and empty texts are documents (of no tokens), texts of any length are encoded whole, repeated rows are
+counted each, extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +29,23 @@ from .common import materialize, sliced
 BLOCK_TOKENS = 1 << 17
 FAN = 1024
 MANIFEST_IDS = 1 << 16
+#: Larger files are read by ranges of so many blocks; one row holds at most 2 GB.
+WHOLE_BYTES = 1 << 30
+RANGE_BLOCKS = 256
 BLOCK, MANIFEST = 0, 1
 
 
 def token_files(docs: DataFrame, vocabulary: str, pattern: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Writes the documents of each partition into one flat file, as rows of blocks.
 
-    kind BLOCK: file, number of the block, 16-bit ids; kind MANIFEST: which doc_ids went into the file, in order,
+    kind BLOCK: file, number of the block, ids of id_width() bytes; kind MANIFEST: which doc_ids went into the file, in order,
     from the ordinal `number` on (64-bit). The manifest only names documents; it holds no lengths or places.
     """
 
     schema = "kind int, file long, number long, data binary"
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    unsigned = f"<u{id_width(ranks.value, separator)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file = encoding(ranks.value, pattern), TaskContext.get().partitionId()
@@ -50,7 +58,7 @@ def token_files(docs: DataFrame, vocabulary: str, pattern: str, separator: int,
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = enc.encode_ordinary(text or "")
                 tokens.append(separator)
-                parts.append(np.array(tokens, "<u2"))
+                parts.append(np.array(tokens, unsigned))
                 size += len(tokens)
                 ids.append(key if key is not None else -(1 << 63))
                 if size >= block_tokens:
@@ -69,11 +77,15 @@ def token_files(docs: DataFrame, vocabulary: str, pattern: str, separator: int,
         if ids:
             yield row(MANIFEST, ordinal, np.array(ids, "<i8").tobytes())
 
-    with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def id_width(ranks: bytes, separator: int) -> int:
+    """Bytes that an id of the vocabulary or the separator takes: 2 or 4."""
+    most = max([separator, *(int(line.split()[1]) for line in ranks.splitlines() if line)])
+    return 2 if most < 1 << 16 else 4
+
+
 _ENCODINGS: dict[int, object] = {}
 
 
@@ -86,20 +98,39 @@ def encoding(ranks: bytes, pattern: str):
     return _ENCODINGS[key]
 
 
-def read_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def read_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, whole: int = WHOLE_BYTES) -> DataFrame:
     """Blocks (kind, file, number, data) of the flat files at a path; file is the hash of its path.
 
-    A file is read as one row of at most 2 GB; larger ones must be written in parts.
+    Files of up to `whole` bytes are read by Spark, each as one row. Of larger ones only the length is; their blocks are
+    read by range in as many tasks as they fill, through the file systems that pyarrow knows.
     """
+    step, schema = width * block_tokens, "kind int, file long, number long, data binary"
+    names = ["kind", "file", "number", "data"]
+
+    def block(file: int, number: int, data: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([BLOCK], pa.int32()), pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = width * block_tokens
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for i in range(0, len(data), step):
-                    yield pa.record_batch([pa.array([BLOCK], pa.int32()), pa.array([file], pa.int64()), pa.array([i // step], pa.int64()), pa.array([data[i : i + step]], pa.binary())], ["kind", "file", "number", "data"])
+                    yield block(file, i // step, data[i : i + step])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
 
-    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, "kind int, file long, number long, data binary")
+        for b in batches:
+            for file, name, first, length in zip(*(c.to_pylist() for c in b.columns)):
+                store, at = FileSystem.from_uri("file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name)
+                with store.open_input_file(at) as f:
+                    for number in range(first, min(first + RANGE_BLOCKS, -(-length // step))):
+                        yield block(file, number, f.read_at(min(step, length - number * step), number * step))
+
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select(F.xxhash64("path").alias("file"), "content").mapInArrow(cut, schema)
+    last = F.floor((F.col("length") - 1) / (step * RANGE_BLOCKS))
+    large = files.where(F.col("length") > whole).select(F.xxhash64("path").alias("file"), "path", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * RANGE_BLOCKS)).alias("first"), "length")
+    return small.union(large.repartition("file", "first").mapInArrow(ranges, schema))
 
 
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -137,20 +168,22 @@ def before(df: DataFrame, **values: tuple) -> DataFrame:
 def documents(scanned: DataFrame) -> DataFrame:
     """file, ordinal, start, n_tokens, ended of every document of the files."""
     own = scanned.where(F.col("kind") == BLOCK).select("file", "number", "n", "places")
-    placed = before(own, base=(F.sum, "n"), earlier=(F.sum, F.size("places")))
-    last = F.when(F.size("places") > 0, F.col("base") + F.element_at("places", -1) + 1)
-    known = before(placed.withColumn("last", last), begin=(F.max, "last")).withColumn("begin", F.coalesce("begin", F.lit(0).cast("long")))
-    ends = known.select("file", "base", "earlier", "begin", "places", F.posexplode("places").alias("i", "at"))
+    count = F.size("places")
+    blocks = own.select("file", "number", "n", count.alias("count"), F.get("places", count - 1).alias("last"))
+    placed = before(blocks, base=(F.sum, "n"), earlier=(F.sum, "count"))
+    known = before(placed.withColumn("last", F.col("base") + F.col("last") + 1), begin=(F.max, "last")).withColumn("begin", F.coalesce("begin", F.lit(0).cast("long")))
+    total = known.groupBy("file").agg(F.sum("n").alias("tokens"), F.sum("count").alias("ordinal"), F.max(F.greatest("last", "begin")).alias("start"))
+    open_ = total.where("tokens > start").select("file", "ordinal", "start", (F.col("tokens") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
+    ends = own.where(count > 0).join(known.select("file", "number", "base", "earlier", "begin"), ["file", "number"]).select("file", "base", "earlier", "begin", "places", F.posexplode("places").alias("i", "at"))
     start = F.when(F.col("i") == 0, F.col("begin")).otherwise(F.col("base") + F.get("places", F.col("i") - 1) + 1)
     ended = ends.select("file", (F.col("earlier") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("base") + F.col("at") - start).alias("n_tokens"), F.lit(True).alias("ended"))
-    total = own.groupBy("file").agg(F.sum("n").alias("tokens"), F.sum(F.size("places")).alias("ordinal"))
-    reach = known.groupBy("file").agg(F.max(F.greatest("last", "begin")).alias("start"))
-    open_ = total.join(reach, "file").where("tokens > start").select("file", "ordinal", "start", (F.col("tokens") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
     return ended.unionByName(open_)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, separator: int) -> DataFrame:
     """doc_id, file, start, n_tokens of the documents, found by scanning the flat files made of them."""
-    scanned = materialize(scan_blocks(token_files(docs, vocabulary, pattern, separator), separator), "token-blocks")
+    with open(vocabulary, "rb") as f:
+        width = id_width(f.read(), separator)
+    scanned = materialize(scan_blocks(token_files(docs, vocabulary, pattern, separator), separator, width), "token-blocks")
     named = scanned.where(F.col("kind") == MANIFEST).select("file", "number", F.posexplode("ids").alias("i", "doc_id")).select("file", (F.col("number") + F.col("i")).alias("ordinal"), F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
     return documents(scanned).join(named, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
