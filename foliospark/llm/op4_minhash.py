@@ -1,25 +1,27 @@
 """Near-duplicate classes with ProbMinHash signatures, banding and exact verification.
 
-A document is the set of its five-word shingles (words are runs without white space, in lower case), each of weight 1,
-however often it occurs, as links are judged by sets. Every element sends a Poisson process of arrivals to random registers, at the rate of its
-weight; a register keeps the earliest one, and a document stops once no element's next arrival can come first.
-Two documents agree in a register with the probability of their probability Jaccard similarity, which at equal weights
-is the Jaccard similarity of the sets; at 0.8 they share no band with a probability of 2e-5. Bands of registers
-give candidates; a candidate is a link if the Jaccard similarity of the two shingle sets, counted exactly, is at
-least THRESHOLD. Classes are the connected components of the links.
-
-Documents with equal shingle sets are one node from the start. Candidates grow in proportion to the documents, whatever
-the size of a group: a member of a bucket meets the bucket's leader (least by a hash). First, every document is held
-against the leader with which it shares most bands; pairs that are then in one class already need no check. The rest
-follow: all other leaders, all pairs of buckets up to SMALL, and for members of larger buckets the leaders of the
+A document is the weighted set of its five-word shingles (words are runs without white space, in lower case); a
+shingle weighs as often as it occurs. Every element sends a Poisson process of arrivals to random registers, at the
+rate of its weight; a register keeps the earliest one, and a document stops once no element's next arrival can come
+first. Two documents agree in a register with the probability of their probability Jaccard similarity; at 0.8 they share
+no band of registers with a probability of 2e-5. Where no shingle repeats it is the Jaccard similarity of the sets; a
+document with repeats is signed twice, with its weights and with all weights 1, so that both similarities are covered.
+Bands give candidates; a candidate is a link if either similarity, computed exactly from whole 64-bit hashes and
+weights, is at least THRESHOLD. Classes are the connected components of the links.
+
+Documents with equal weighted shingles are one node from the start. Candidates grow in proportion to the documents,
+whatever the size of a group: a member of a bucket meets the bucket's leader (least by a hash). First, every document
+is held against the leader with which it shares most bands; pairs that are then in one class already need no check. The
+rest follow: all other leaders, all pairs of buckets up to SMALL, and for members of larger buckets the leaders of the
 parts into which SPLITS other bands cut them. What large buckets then still hold in different classes is checked pair
 by pair, in cells of BLOCK by BLOCK members, so that in the end every two documents of a bucket were compared or share
 a class. These last pairs grow with the square of a family whose members are alike but below the threshold.
 
 Defined cases: a null text, or one without a word, is a class of its own; a text of one to four words has one
-shingle, of all of them; rows with a null doc_id are returned with a null class; repeated rows share a class; ties
-go to the smaller id, and a class is named by its least doc_id; an empty table gives no rows; extra columns of the
-input are ignored.
+shingle, of all of them; very long texts are hashed in runs; rows with a null doc_id are returned with a null class;
+repeated rows share a class; rows of one doc_id but different texts are different documents, which may be in different
+classes; ties go to the smaller id, and a class is named by its least doc_id; an empty table gives no rows; extra
+columns of the input, whatever their names, are ignored by classes() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import fresh, materialize, sliced
 from .shingles import shingles
 from .wordbpe import mixed
 
@@ -88,63 +90,88 @@ def _chunks(texts: list[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[
         i = j
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the shingle set, null if empty), n (its size), bands."""
-    schema = "doc_id long, content binary, n long, bands array<long>"
+def _bytes_of(value: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted hashes with their counts; counts of 1 are left out."""
+    many = np.flatnonzero(count > 1)
+    return np.array([len(many)], "<u4").tobytes() + value.astype("<u8").tobytes() + many.astype("<u4").tobytes() + count[many].astype("<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 2048):
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in _chunks(texts):
-                owner, value, _ = shingles(texts[i:j])
-                n = np.bincount(owner, minlength=j - i)
-                keys = band_keys(signatures(owner, value, np.ones(len(value)), j - i))
-                at = np.cumsum(n) - n
-                digest = [hashlib.blake2b(value[a : a + m].tobytes(), digest_size=16).digest() if m else None for a, m in zip(at.tolist(), n.tolist())]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), bands], ["doc_id", "content", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+def _set(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(block[:4], "little")
+    n = (len(block) - 4 - 8 * m) // 8
+    count = np.ones(n, np.int64)
+    count[np.frombuffer(block, "<u4", m, 4 + 8 * n)] = np.frombuffer(block, "<u4", m, 4 + 8 * n + 4 * m)
+    return np.frombuffer(block, "<u8", n, 4), count
+
+
+def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The sum, over common elements i, of 1 / sum over all j of max(x[j] / x[i], y[j] / y[i])."""
+    (a, v), (b, w) = x, y
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    v_both, w_both = v[i], w[j]
+    v_rest, w_rest = int(v.sum() - v_both.sum()), int(w.sum() - w_both.sum())
+    ratio, total = v_both / w_both, 0.0
+    for r in np.unique(ratio):
+        total += v_both[ratio == r].sum() / (v_rest + r * w_rest + np.maximum(v_both, r * w_both).sum())
+    return total
+
+
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The greater of the Jaccard similarity of the sets and the probability Jaccard similarity."""
+    common = len(np.intersect1d(x[0], y[0], assume_unique=True))
+    sets = common / (len(x[0]) + len(y[0]) - common)
+    return sets if (x[1] == 1).all() and (y[1] == 1).all() else max(sets, probability_jaccard(x, y))
+
 
+def _bands(owner: np.ndarray, value: np.ndarray, count: np.ndarray, n: int) -> pa.ListArray:
+    """BANDS keys for each of n documents, and as many more for the sets of those with repeats."""
+    keys = [band_keys(signatures(owner, value, count.astype(np.float64), n))]
+    repeats = np.bincount(owner, count > 1, n) > 0
+    again = repeats[owner]
+    place = np.cumsum(repeats) - 1
+    keys.append(band_keys(signatures(place[owner[again]], value[again], np.ones(int(again.sum())), int(repeats.sum()))))
+    whose = np.concatenate([np.repeat(np.arange(n), BANDS), np.repeat(np.flatnonzero(repeats), BANDS)])
+    flat = np.concatenate([k.reshape(-1) for k in keys])[np.argsort(whose, kind="stable")]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(BANDS * (1 + repeats.astype(np.int64)))]), pa.int32()), pa.array(flat))
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted shingle hashes, cut to 40 bits, as one block of bytes."""
+
+def _signed(docs: DataFrame, with_sets: bool) -> DataFrame:
+    """doc_id, key, content (digest of the weighted shingles, null if there are none), and their bands or themselves."""
+    names = ["doc_id", "key", "content", "shingles" if with_sets else "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for i, j in _chunks(texts):
-                owner, value, _ = shingles(texts[i:j])
+                owner, value, count = shingles(texts[i:j])
                 n = np.bincount(owner, minlength=j - i)
-                low, high = (value >> np.uint64(24)).astype("<u4"), (value >> np.uint64(56)).astype(np.uint8)
                 at = np.cumsum(n) - n
-                sets = [high[a : a + m].tobytes() + low[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist())]
-                yield pa.record_batch([ids.slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                blocks = [_bytes_of(value[a : a + m], count[a : a + m]) for a, m in zip(at.tolist(), n.tolist())]
+                digest = [hashlib.blake2b(x, digest_size=16).digest() if m else None for x, m in zip(blocks, n.tolist())]
+                if with_sets:
+                    last = pa.array(blocks, pa.binary())
+                else:
+                    last = _bands(owner, value, count, j - i)
+                yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(digest, pa.binary()), last], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, f"doc_id long, key long, content binary, {names[3]} {'binary' if with_sets else 'array<long>'}")
 
 
-def _set(block: bytes) -> np.ndarray:
-    n = len(block) // 5
-    return np.frombuffer(block, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(block, "<u4", n, n).astype(np.uint64)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text; the key tells texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose shingle sets have a Jaccard similarity of at least threshold."""
+    """The pairs a, b of nodes whose similarity is at least threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _set(x), _set(y)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+        for batch in sliced(batches, 512):
+            keep = [similarity(_set(x), _set(y)) >= threshold - 1e-9 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -182,88 +209,116 @@ def _pair(x: str, y: str) -> list:
 
 
 def last_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: tops that a link joins, from all pairs of members (key, doc_id, top) of one key but different tops.
+    """a, b: tops that a link joins, from all pairs of members (key, node, top) of one key but different tops.
 
     Members of a key fall into blocks of about BLOCK, and each two blocks meet in a cell of their own, where the
-    shingles that several members hold become columns and a matrix product counts what each pair shares.
+    shingles that several members hold become columns and a matrix product counts what each pair shares. That count
+    gives the similarity of the sets; where shingles repeat, pairs that the shared weight allows are computed.
     """
-    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo != hi")
-    cut = members.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    apart = members.groupBy("key").agg(F.count("*").alias("size"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo != hi")
+    cut = members.join(apart.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "top", "doc_id").join(sets, "doc_id")
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "top", "node").join(sets, "node")
 
     def run(cell: pa.Table) -> pa.Table:
         top, block, held = cell["top"].to_numpy(), cell["block"].to_numpy(), [_set(x) for x in cell["shingles"].to_pylist()]
         one, two = (np.flatnonzero(block == cell[x][0].as_py()) for x in ("i", "j"))
-        size = np.array([len(x) for x in held])
-        values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+        size = np.array([len(v) for v, _ in held])
+        flat = np.array([bool((w == 1).all()) for _, w in held])
+        values, owner = np.concatenate([v for v, _ in held]), np.repeat(np.arange(len(held)), size)
+        share = np.concatenate([w / w.sum() for _, w in held])
         order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
+        values, owner, share = values[order], owner[order], share[order]
         column = np.cumsum(np.append(False, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
         several = np.bincount(column)[column] > 1
-        owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
-        common = np.zeros((len(one), len(two)))
+        owner, share, column = owner[several], share[several], np.unique(column[several], return_inverse=True)[1]
+        # common elements, and the share of either side's weight that they hold, which the similarity can't exceed
+        common, mine, its = (np.zeros((len(one), len(two))) for _ in range(3))
         edges = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + COLUMNS + 1, COLUMNS))
         for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-            m = np.zeros((len(held), COLUMNS), np.float32)
-            m[owner[x:y], column[x:y] - k * COLUMNS] = 1
-            common += m[one] @ m[two].T
-        link = (common >= threshold * (size[one][:, None] + size[two] - common) - 1e-9) & (top[one][:, None] != top[two])
+            has, weighs = np.zeros((len(held), COLUMNS), np.float32), np.zeros((len(held), COLUMNS), np.float32)
+            has[owner[x:y], column[x:y] - k * COLUMNS] = 1
+            common += has[one] @ has[two].T
+            if not flat.all():
+                weighs[owner[x:y], column[x:y] - k * COLUMNS] = share[x:y]
+                mine += weighs[one] @ has[two].T
+                its += has[one] @ weighs[two].T
+        other = top[one][:, None] != top[two]
+        sure = flat[one][:, None] & flat[two]
+        link = other & (common >= threshold * (size[one][:, None] + size[two] - common) - 1e-9)
+        for x, y in zip(*np.nonzero(other & ~link & ~sure & (np.minimum(mine, its) >= threshold - 1e-3))):
+            link[x, y] = probability_jaccard(held[one[x]], held[two[y]]) >= threshold - 1e-9
         found = np.unique(np.sort(np.stack([top[one][np.nonzero(link)[0]], top[two][np.nonzero(link)[1]]], 1), axis=1), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), is_copy (not that document)."""
-    signed = materialize(sign(docs.where(F.col("doc_id").isNotNull())), "signatures")
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, key, content) of docs with an id, and content, class_id of those that have shingles."""
+    keyed = _keyed(docs.where(F.col("doc_id").isNotNull()))
+    signed = materialize(_signed(keyed, False).withColumn("row", F.monotonically_increasing_id()), "signatures")
     held = signed.where(F.col("content").isNotNull())
-    contents = materialize(held.groupBy("content").agg(F.min("doc_id").alias("rep")), "contents")
-    nodes = held.join(contents.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rank = F.xxhash64("doc_id")
-    member = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "doc_id", "n")).alias("m")).where("size > 1")
-    kept = materialize(member.join(buckets.select("key", "size", F.col("m.doc_id").alias("leader"), F.col("m.n").alias("leader_n")), "key"), "buckets")
-    alike = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
-    star = kept.where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("shared"))
-    star = materialize(star, "star")
-    wanted = kept.select("doc_id").distinct()
-    sets = materialize(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    # a node is a class of equal shingles, named by one of its rows
+    contents = materialize(held.groupBy("content").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "contents")
+    nodes = held.select(F.col("row").alias("node"), "doc_id", "bands").join(contents.select("node"), "node", "left_semi")
+    rank = F.xxhash64("node")
+    member = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "node")).alias("m")).where("size > 1")
+    kept = materialize(member.join(buckets.select("key", "size", F.col("m.node").alias("leader")), "key"), "buckets")
+    star = materialize(kept.where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count("*").alias("shared")), "star")
+    wanted = nodes.join(kept.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    again = _signed(keyed.join(wanted, "doc_id", "left_semi"), True).select("content", "shingles")
+    sets = materialize(again.join(contents.select("content", "node"), "content").select("node", "shingles").dropDuplicates(["node"]), "shingles")
     # leaders come before their members by hash, so these pointers make a forest
-    best = star.groupBy("doc_id").agg(F.max(F.struct("shared", -F.col("leader"))).alias("m")).select(F.col("doc_id").alias("a"), (-F.col("m.col2")).alias("b"))
+    best = star.groupBy("node").agg(F.max(F.struct("shared", -F.col("leader"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.col2")).alias("b"))
     found = roots(verify(best, sets, threshold).select(F.col("a").alias("id"), F.col("b").alias("to")))
 
-    small = kept.where(f"size <= {SMALL}").select("key", "doc_id", "n")
-    other = small.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"))
-    pairs = star.select("doc_id", "leader").union(small.join(other, "key").where((F.col("doc_id") < F.col("leader")) & alike("n", "leader_n")).select("doc_id", "leader"))
-    large = kept.where(f"size > {SMALL}").select("key", "doc_id", "n")
-    turn = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.get("bands", F.pmod(F.array_position("bands", F.col("key")).cast("int") - 1 + i, F.lit(BANDS))))
-    parts = large.join(nodes.select("doc_id", "bands"), "doc_id").select("doc_id", "n", F.explode(F.transform(turn, lambda k: F.xxhash64(k, F.col("key")))).alias("part"))
-    tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "doc_id", "n")).alias("m")).where("size > 1")
-    met = parts.join(tops.select("part", F.col("m.doc_id").alias("leader"), F.col("m.n").alias("leader_n")), "part").where((F.col("doc_id") != F.col("leader")) & alike("n", "leader_n"))
-    pairs = pairs.union(met.select("doc_id", "leader")).select(*_pair("doc_id", "leader")).distinct()
+    small = kept.where(f"size <= {SMALL}").select("key", "node")
+    other = small.select("key", F.col("node").alias("leader"))
+    pairs = star.select("node", "leader").union(small.join(other, "key").where(F.col("node") < F.col("leader")).select("node", "leader"))
+    large = kept.where(f"size > {SMALL}").select("key", "node")
+    turn = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.get("bands", F.pmod(F.array_position("bands", F.col("key")).cast("int") - 1 + i, F.size("bands"))))
+    parts = large.join(nodes.select("node", "bands"), "node").select("node", F.explode(F.transform(turn, lambda k: F.xxhash64(k, F.col("key")))).alias("part"))
+    tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "node")).alias("m")).where("size > 1")
+    met = parts.join(tops.select("part", F.col("m.node").alias("leader")), "part").where(F.col("node") != F.col("leader"))
+    pairs = pairs.union(met.select("node", "leader")).select(*_pair("node", "leader")).distinct()
     one, two = found.select(F.col("id").alias("a"), F.col("root").alias("c")), found.select(F.col("id").alias("b"), F.col("root").alias("d"))
     apart = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("c", "a").alias("c"), F.coalesce("d", "b").alias("d")).where("c != d")
     apart = materialize(apart, "apart")
     new = verify(apart.select("a", "b"), sets, threshold).join(apart, ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b"))
     merged = components(new).select(F.col("id").alias("root"), F.col("class_id").alias("top"))
-    reps = contents.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("content", "rep", F.coalesce("root", "rep").alias("root"))
-    reps = materialize(reps.join(merged, "root", "left").select("content", "rep", F.coalesce("top", "root").alias("top")), "classes")
-    tops = reps.select(F.col("rep").alias("doc_id"), "top")
-    late = components(last_links(large.select("key", "doc_id").join(tops, "doc_id"), sets, threshold))
-    reps = reps.join(late.select(F.col("id").alias("top"), F.col("class_id").alias("joined")), "top", "left").select("content", "rep", F.coalesce("joined", "top").alias("top"))
+    reps = contents.join(found.withColumnRenamed("id", "node"), "node", "left").select("content", "least", "node", F.coalesce("root", "node").alias("root"))
+    reps = materialize(reps.join(merged, "root", "left").select("content", "least", "node", F.coalesce("top", "root").alias("top")), "classes")
+    late = components(last_links(large.select("key", "node").join(reps.select("node", "top"), "node"), sets, threshold))
+    reps = reps.join(late.select(F.col("id").alias("top"), F.col("class_id").alias("joined")), "top", "left").select("content", "least", F.coalesce("joined", "top").alias("top"))
     reps = materialize(reps, "classes")
-    least = materialize(reps.groupBy("top").agg(F.min("rep").alias("class_id")), "least")
-    named = materialize(reps.join(least, "top").select("content", "class_id"), "named")
-    out = held.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
+    least = reps.groupBy("top").agg(F.min("least").alias("class_id"))
+    return signed.select("doc_id", "key", "content"), materialize(reps.join(least, "top").select("content", "top", "class_id"), "named")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), is_copy (not that document)."""
+    signed, named = _classified(docs, threshold)
+    out = signed.where(F.col("content").isNotNull()).join(named, "content").select("doc_id", "class_id")
     out = out.union(signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     out = out.union(docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id")))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)).alias("is_copy"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that name their class; rows of one doc_id are one document, null ids all stay."""
-    named = classes(docs, threshold).where(~F.col("is_copy") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(named, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    """The documents, all columns, one of each class: that of the least doc_id; rows with a null id all stay.
+
+    Of rows of one class that share that id, the least text by its hash stays; of rows that repeat both, the least by
+    a hash of the other columns.
+    """
+    signed, named = _classified(docs, threshold)
+    own = signed.where(F.col("content").isNull()).select("doc_id", "key").distinct()
+    first = signed.where(F.col("content").isNotNull()).join(named, "content").groupBy("top").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    mark, key = fresh(docs, "keep"), fresh(docs, "key")
+    keep = own.union(first).select(F.col("doc_id").alias(mark), F.col("key").alias(key))
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.xxhash64("doc_id", "text"))
+    kept = marked.join(keep, (F.col("doc_id").cast("long") == keep[mark]) & (marked[key] == keep[key]), "left_semi")
+    same = Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]))
+    kept = kept.withColumn(mark, F.row_number().over(same)).where(F.col(mark) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(F.col("doc_id").isNull()))
