@@ -1,18 +1,19 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) the letters' vectors, the
+Every letter has a random vector of +1 and -1 of its own, drawn by its code point. A trigram's vector binds (multiplies) the letters' vectors, the
 first rotated twice and the second once. A text's vector bundles (adds) its trigrams' vectors, and a language's
 prototype bundles the unit vectors of its training texts, less the mean of all languages. The prediction is the
 prototype of greatest cosine.
 
-Training reads a bounded sample: in each language at most SLOTS documents, one for each value of a hash of the
-document id, and at most MAX_LANGUAGES languages (those with most sampled documents, ties by name). Every
-document's whole text is predicted.
+Training reads a bounded sample: of each language at most SLOTS documents, one for each value of a hash of the document
+id (of rows that share an id the least text by its hash). Every language of the table is learned; the model takes 12 KB
+for each. Every document's whole text is predicted.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if nothing can be
-learned (no labelled training text); equal cosines go to the language that comes first by name; repeated rows
-are predicted each; an empty table gives no rows; extra columns of the input are ignored. Only text and lang of
-documents for which train is true are learned from.
+learned (no labelled training text); equal cosines go to the language that comes first by name; very long texts go in
+runs cut at white space; repeated rows are predicted each; an empty table gives no rows; extra columns of the input,
+whatever their names, are ignored by identify() and kept by accepted(). Only text and lang of documents for which train
+is true are learned from.
 """
 
 from __future__ import annotations
@@ -25,60 +26,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import materialize, sliced
 from .op8_wordbpe import runs
 
 
 DIMENSIONS = 1024
 SLOTS = 256
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 #: accepted() rejects documents whose cosine with their language's whole prototype is lower.
 MIN_LIKENESS = 0.2
-#: Letters are told apart by their code point modulo this number; trigram codes stay below its cube.
-LETTERS = 257
+#: Bits of a letter's code in a trigram's, letters and trigrams whose vectors a worker remembers (16 and 32 MB).
+BITS = 21
+LETTERS, TRIGRAMS = 1 << 14, 1 << 13
+SEED = 7
 CHUNK = 1 << 20
 Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
 def letter_codes() -> np.ndarray:
-    """For each code point 0 if it is no letter, else 1 to LETTERS - 1; case is folded where it is one to one."""
+    """For each code point 0 if it is no letter, else its own; case is folded where it is one to one."""
     out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         ch = chr(c)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()
-            out[c] = 1 + ord(low if len(low) == 1 else ch) % (LETTERS - 1)
+            out[c] = ord(low if len(low) == 1 else ch)
     return out
 
 
-def letter_vectors(seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
-
-
 class Profiler:
-    """Turns texts into bundled trigram vectors; remembers the vectors of trigrams it has met."""
+    """Turns texts into bundled trigram vectors; remembers the vectors of letters and trigrams it has met."""
 
     def __init__(self) -> None:
-        self.codes, self.letters = letter_codes(), letter_vectors()
-        self.row = np.full(LETTERS**3, -1, np.int16)
-        self.book, self.n = np.empty((1 << 12, DIMENSIONS), np.float32), 0
+        self.codes = letter_codes()
+        self.letter: dict[int, np.ndarray] = {}
+        self.row: dict[int, int] = {}
+        self.book = np.empty((TRIGRAMS, DIMENSIONS), np.float32)
+
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of letters, and of the gap (0)."""
+        if len(self.letter) > LETTERS:
+            self.letter.clear()
+        for c in set(codes.tolist()) - self.letter.keys():
+            self.letter[c] = np.random.default_rng([SEED, c]).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+        return np.stack([self.letter[c] for c in codes.tolist()])
 
     def vectors(self, trigrams: np.ndarray) -> np.ndarray:
-        """The rows of the book for these codes, which are bound when first met."""
-        new = trigrams[self.row[trigrams] < 0]
-        if self.n + len(new) > 1 << 13:  # the book stays below 32 MB
-            self.row[:], self.n, new = -1, 0, trigrams
-        if len(new):
-            while self.n + len(new) > len(self.book):
-                self.book = np.concatenate([self.book, np.empty_like(self.book)])
-            a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
-            for i in range(0, len(new), 4096):
-                s = slice(i, i + 4096)
-                self.book[self.n + i : self.n + i + len(a[s])] = np.roll(self.letters[a[s]], 2, 1) * np.roll(self.letters[b[s]], 1, 1) * self.letters[c[s]]
-            self.row[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-        return self.row[trigrams]
+        """The rows of the book for at most TRIGRAMS different codes, which are bound when first met."""
+        new = [t for t in trigrams.tolist() if t not in self.row]
+        if len(self.row) + len(new) > TRIGRAMS:
+            self.row.clear()
+            new = trigrams.tolist()
+        mask = (1 << BITS) - 1
+        for i in range(0, len(new), 1024):
+            some, n = np.array(new[i : i + 1024]), len(self.row)
+            a, b, c = some >> 2 * BITS, some >> BITS & mask, some & mask
+            self.book[n : n + len(some)] = np.roll(self.letters(a), 2, 1) * np.roll(self.letters(b), 1, 1) * self.letters(c)
+            self.row.update(zip(some.tolist(), range(n, n + len(some))))
+        return np.array([self.row[t] for t in trigrams.tolist()])
 
     def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Trigram codes over letters and single gaps, and the text of each; only those with a letter in the middle."""
@@ -90,7 +95,7 @@ class Profiler:
         if len(codes) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         codes = np.concatenate([[0], codes]).astype(np.int64)
-        tri = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
+        tri = codes[:-2] << 2 * BITS | codes[1:-1] << BITS | codes[2:]
         good = codes[1:-1] > 0
         return tri[good], owner[:-1][good]
 
@@ -136,15 +141,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, trainable: Column) -> Model:
     """Languages in order, their prototypes less the mean, the mean, and the whole prototypes."""
     slot = F.xxhash64("doc_id")
-    picked = (
-        docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .groupBy("lang", F.pmod(slot, F.lit(SLOTS)).alias("slot"))
-        .agg(F.min(F.struct(slot.alias("h"), F.col("doc_id").alias("d"))).alias("m"))
-    )
-    names = [r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ids = [r["d"] for r in picked.where(F.col("lang").isin(*names)).select("m.d").collect()] if names else []
-    if not ids:
-        return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32)
+    labelled = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", slot.alias("h"), "text")
+    # at most SLOTS rows a language; as a table its size is known when the join is planned
+    picked = materialize(labelled.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h"), "language-sample")
+    chosen = labelled.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = "lang string, v binary"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +155,11 @@ def train(docs: DataFrame, trainable: Column) -> Model:
                 total[lang] = total.get(lang, 0) + v.astype(np.float64)
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
 
-    # the scan is as wide as the table; only the bounded sample is dealt to a few tasks
-    chosen = docs.where(F.col("doc_id").isin(ids) & trainable & F.col("lang").isin(*names)).select("lang", "text")
     total: dict[str, np.ndarray] = {}
-    for r in chosen.repartition(16).mapInArrow(sums, schema).collect():
+    for r in chosen.select("lang", "text").repartition(16, "lang").mapInArrow(sums, schema).collect():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], np.float64)
+    if not total:
+        return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32)
     names = sorted(total)
     units = _unit(np.stack([total[k] for k in names]))
     mean = units.mean(0) if len(names) > 1 else np.zeros(DIMENSIONS)
@@ -197,14 +197,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents, all columns, that are like a learned language; they are not shuffled."""
+    """The documents, all columns, that are like a learned language, which becomes their lang; they are not shuffled."""
     model = model or train(docs, F.lit(True))
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             label, _, _, like = judge(b.column(at).to_pylist(), model)
-            yield b.filter(pa.array([x != UNKNOWN and y >= MIN_LIKENESS for x, y in zip(label, like)], pa.bool_()))
+            columns = [pa.array(label, pa.string()) if i == lang else c for i, c in enumerate(b.columns)]
+            keep = pa.array([x != UNKNOWN and y >= MIN_LIKENESS for x, y in zip(label, like)], pa.bool_())
+            yield pa.record_batch(columns, b.schema.names).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
 

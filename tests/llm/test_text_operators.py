@@ -55,9 +55,11 @@ def test_token_counts_equal_direct_encoding(spark, rows):
     assert op2_tokens.count_tokens(empty(spark), vocabulary, queries.PATTERN, queries.END_OF_TEXT).count() == 0
 
 
+@pytest.mark.parametrize("whole", [1 << 30, 100])
 @pytest.mark.parametrize("width", [1, 2, 4])
-def test_separator_scan_stitches_blocks(spark, tmp_path, monkeypatch, width):
+def test_separator_scan_stitches_blocks(spark, tmp_path, monkeypatch, width, whole):
     monkeypatch.setattr(op2_tokens, "FAN", 4)
+    monkeypatch.setattr(op2_tokens, "RANGE_BLOCKS", 3)
     rng, want = np.random.default_rng(width), []
     for name, n in (("a", 1003), ("b", 7), ("c", 0), ("d", 640)):
         tokens = rng.integers(0, 9, n).astype(f"<u{width}")
@@ -71,7 +73,7 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, monkeypatch, width):
             start = i + 1
         if start < n:
             want.append((start, n - start, False))
-    blocks = op2_tokens.read_files(spark, str(tmp_path), width, block_tokens=16)
+    blocks = op2_tokens.read_files(spark, str(tmp_path), width, block_tokens=16, whole=whole)
     got = op2_tokens.documents(op2_tokens.scan_blocks(blocks, 3, width)).collect()
     assert collections.Counter((r.start, r.n_tokens, r.ended) for r in got) == collections.Counter(want)
 
@@ -96,50 +98,113 @@ def test_license_rules(spark):
     assert op3_licenses.scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("width", [40, 72, 80])
-@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", ";; "])
-def test_wrapped_licenses(spark, width, prefix):
-    sentence = op3_licenses.SENTENCES
-    said = lambda *numbers: [sentence[n - 1].capitalize() + "." for n in numbers]
-    wrapped = lambda *paragraphs: "\n".join((prefix + line).rstrip() for p in paragraphs for line in [*textwrap.wrap(p, width), ""])
-    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    cases = {
-        1: ("MIT", 4, 1, wrapped("The MIT License", "Copyright (c) 2020 A. Person", *said(3, 4), " ".join(said(5, 6)))),
-        2: ("BSD-3-Clause", 4, 1, wrapped(*said(28), *(f"{i}. {x}" for i, x in enumerate(said(29, 30, 31), 1)))),
-        3: ("GPL-3.0-or-later", 5, 1, wrapped(gpl, " ".join([sentence[17] + ";", sentence[18] + ".", sentence[19] + "."]))),
-        4: ("MIT", 1, 1, "MIT License\n" + wrapped(*said(3))),
+def said(*keys):
+    return [op3_licenses.SENTENCES[k].capitalize() + "." for k in keys]
+
+
+def license_files(width, prefix):
+    wrapped = lambda *paragraphs: "\n".join((prefix + line).rstrip() for p in paragraphs for line in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""])
+    free = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+    gpl, lgpl = free.format("program", ":", "General Public License", ",", "3"), free.format("library", ";", "Lesser General Public License", ";", "2.1")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License");  you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", " ".join(said("apache warranty", "apache see"))]
+    return {
+        1: ("MIT", 4, 1, wrapped("The MIT License", "Copyright (c) 2020 A. Person", *said("mit grant", "mit notice"), " ".join(said("mit warranty", "mit liability")))),
+        2: ("BSD-3-Clause", 5, 1, wrapped(*said("bsd grant"), *(f"{i}. {x}" for i, x in enumerate(said("bsd source", "bsd binary", "bsd names"), 1)), *said("bsd warranty"))),
+        3: ("GPL-3.0-or-later", 5, 1, wrapped(gpl, " ".join([said("gnu hope")[0][:-1] + ";", *said("gnu implied", "gpl see")]))),
+        4: ("MIT", 1, 1, "MIT License\n" + wrapped(*said("mit grant"))),
         5: ("MIT,all-rights-reserved", 2, 2, "Some words\nreleased under the MIT license\nAll rights reserved\nmore words"),
         6: ("Apache-2.0", 1, 1, 'Licensed under the Apache License, Version 2.0\n(the "License")'),
         7: ("", 0, 0, "released under\n\nthe MIT license. Or not released under the MIT\nlicense"),
+        8: ("LGPL-2.1-or-later", 3, 1, wrapped("Copyright 1999 Someone", lgpl)),
+        9: ("AGPL-3.0-or-later", 2, 1, wrapped(free.format("program", ":", "Affero General Public License", ",", "3"))),
+        10: ("MPL-2.0", 2, 1, "\n".join(prefix + x for x in mpl.split("\n"))),
+        11: ("ISC", 3, 1, wrapped("ISC License", *said("isc grant", "isc warranty"), *said("isc liability"))),
+        12: ("Unlicense", 2, 1, wrapped(*said("unlicense", "unlicense free"))),
+        13: ("CC0-1.0", 2, 1, wrapped("Creative Commons Legal Code", "CC0 1.0 Universal", "    " + " ".join(said("cc no law firm")))),
+        14: ("EPL-2.0", 1, 1, wrapped("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/")),
+        15: ("Zlib", 3, 1, wrapped(*said("zlib warranty"), "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "1. The origin of this software must not be misrepresented; you must not claim that you wrote it.")),
+        16: ("Apache-2.0", 6, 1, wrapped("Copyright 2020 Someone", *apache)),
+        17: ("Apache-2.0", 1, 1, wrapped("This is licensed under the Apache License, Version 2.0.")),
+        18: ("GPL-2.0-only", 2, 1, wrapped("GNU GENERAL PUBLIC LICENSE", *said("gnu verbatim")).replace("LICENSE\n", f"LICENSE\n{prefix}Version 2, June 1991\n", 1)),
     }
-    docs = spark.createDataFrame([(k, c[3].replace("\n", "\r\n") if k == 2 else c[3]) for k, c in cases.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.licenses, r.n_known, r.n_matches) for r in op3_licenses.scan(docs).collect()}
-    assert got == {k: c[:3] for k, c in cases.items()}
+
+
+def test_wrapped_licenses(spark):
+    forms = [(width, prefix) for width in (40, 72, 80, 1000) for prefix in ("", "# ", " * ", "// ", ";; ")]
+    cases = {100 * i + k: c for i, form in enumerate(forms) for k, c in license_files(*form).items()}
+    docs = spark.createDataFrame([(k, c[3].replace("\n", "\r\n") if k % 100 == 2 else c[3]) for k, c in cases.items()], "doc_id long, text string")
+    found = op3_licenses.scan(docs).collect()
+    assert {r.doc_id: (r.licenses, r.n_known, r.n_matches) for r in found} == {k: c[:3] for k, c in cases.items()}
+    assert sql_rows(op3_licenses.oracle(), documents=docs.toPandas()) == sorted(map(tuple, found))
+
+
+def sql_rows(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, frame_ in tables.items():
+        con.register(name, frame_)
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_license_sequences_end_at_gaps(spark):
+    other = lambda n: " " + "".join(f"Sentence {i} says nothing. " for i in range(n))
+    bsd = said("bsd grant", "bsd source", "bsd binary")
+    rows = [(i, other(n).join(bsd)) for i, n in enumerate((0, 20, 500))] + [(3, ("word " * 300_000) + "\n" + "\n".join(bsd)), (4, "all rights reserved\n" * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_known, r.sentences.count("/")) for r in op3_licenses.scan(docs).collect()}
+    assert got == {0: ("BSD-2-Clause", 3, 0), 1: ("BSD-2-Clause", 3, 0), 2: ("", 3, 2), 3: ("BSD-2-Clause", 3, 0), 4: ("all-rights-reserved", 2, 0)}
+    assert sql_rows(op3_licenses.oracle(), documents=docs.toPandas()) == sorted(map(tuple, op3_licenses.scan(docs).collect()))
 
 
 # 4
 
 
+def weighted(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def alike(a, b):
+    """The greater of the Jaccard similarity of the sets and the probability Jaccard similarity."""
+    common = a.keys() & b.keys()
+    if not common:
+        return 0.0
+    each = collections.Counter(a[x] / b[x] for x in common)
+    whole = {r: sum(max(a[x], r * b[x]) for x in a.keys() | b.keys()) for r in each}
+    return max(len(common) / len(a.keys() | b.keys()), sum(a[x] / whole[a[x] / b[x]] for x in common))
+
+
 def jaccard_classes(rows):
-    sets = {}
-    for k, t, *_ in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    parent = {k: k for k in sets}
+    """Classes by place; rows of a doc_id and text that came before are left out."""
+    keys = list(dict.fromkeys((r[0], r[1]) for r in rows))
+    sets, parent = [weighted(t) for _, t in keys], list(range(len(keys)))
 
     def top(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    ks = sorted(sets)
-    for i, a in enumerate(ks):
-        for b in ks[:i]:
-            common = len(sets[a] & sets[b])
-            if common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x
-    return {k: top(k) for k in ks}
+    for i in range(len(keys)):
+        for j in range(i):
+            if top(i) != top(j) and alike(sets[i], sets[j]) >= 0.8 - 1e-9:
+                parent[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(keys):
+        least[top(i)] = min(least.get(top(i), k), k)
+    return collections.Counter((k, least[top(i)]) for i, (k, _) in enumerate(keys))
+
+
+def classes_of(spark, rows):
+    """doc_id and class of every row, but for rows that repeat another."""
+    got = collections.Counter((r.doc_id, r.class_id) for r in op4_minhash.classes(frame(spark, rows)).collect())
+    assert sum(got.values()) == len(rows)
+    once = collections.Counter((r[0], r[1]) for r in rows)
+    for (k, t), n in once.items():
+        if n > 1:
+            got[next(x for x in got if x[0] == k and got[x] > 1)] -= n - 1
+    return got
 
 
 @pytest.mark.parametrize("small", [2, 6])
@@ -152,10 +217,11 @@ def test_near_duplicate_classes_equal_brute_force(spark, rows, monkeypatch, smal
         w = list(base)
         w[r.randrange(len(w))] = f"other{i}"
         more.append((2000 + i, " ".join(w), "en", "s", 1, "x", 1, 1))
-    got = op4_minhash.classes(frame(spark, more)).collect()
-    want = jaccard_classes(more)
-    assert {r.doc_id: r.class_id for r in got} == want
-    assert len(got) == len(more)
+    words = lambda k, n: " ".join(f"t{k + i}" for i in range(n))
+    # rows of one doc_id, two texts; repeats that only weights or only sets see as alike
+    more += [(3000, words(0, 30), "en", "s", 1, "x", 1, 1), (3000, words(500, 30), "en", "s", 1, "x", 1, 1), (3001, words(0, 30), "en", "s", 1, "x", 1, 1)]
+    more += [(3002, words(900, 10) * 1 + (" " + words(1000, 40)) * 30, "en", "s", 1, "x", 1, 1), (3003, words(960, 10) + (" " + words(1000, 40)) * 30, "en", "s", 1, "x", 1, 1)]
+    assert classes_of(spark, more) == jaccard_classes(more)
 
 
 def test_links_that_only_large_buckets_show_are_found(spark, monkeypatch):
@@ -165,8 +231,8 @@ def test_links_that_only_large_buckets_show_are_found(spark, monkeypatch):
     ids = [r.id for r in spark.range(1, 91).orderBy(F.xxhash64("id")).collect()]
     # a family below the threshold, and two of its members, never leaders, that are alike
     rows = [(k, words(0, 900) + " " + words(10_000 * k, 110 if k in ids[-2:] else 150), "en", "s", 1, "x", 1, 1) for k in ids]
-    got = {r.doc_id: r.class_id for r in op4_minhash.classes(frame(spark, rows)).collect()}
-    assert got == {k: min(ids[-2:]) if k in ids[-2:] else k for k in ids} == jaccard_classes(rows)
+    got = classes_of(spark, rows)
+    assert got == jaccard_classes(rows) and sorted(k for k, c in got if c == min(ids[-2:])) == sorted(ids[-2:])
 
 
 def test_near_duplicates_of_null_ids_and_empty_table(spark):
@@ -177,6 +243,16 @@ def test_near_duplicates_of_null_ids_and_empty_table(spark):
     assert op4_minhash.one_of_each(frame(spark, rows)).count() == 2
 
 
+def test_one_of_each_keeps_every_text(spark):
+    rows = [(1, "a b c d e f g", "r", "z", 5), (1, "p q r s t u v", "r", "z", 5), (2, "p q r s t u v", "r", "z", 5), (1, "p q r s t u v", "r", "a", 5), (3, None, "r", "z", 5), (3, None, "r", "z", 5), (None, "a b c d e f g", "r", "z", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, KEEP string, node int")
+    got = op4_minhash.one_of_each(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, rows[0][1]), (1, rows[1][1]), (3, None), (None, rows[0][1])], key=str)
+    assert got[0].asDict().keys() == {"doc_id", "text", "key", "KEEP", "node"}
+    again = op4_minhash.one_of_each(df.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_repeated_blocks_keep_near_copies_together(spark):
     words = lambda k, at, n: " ".join(f"w{k}x{at + i}" for i in range(n))
     rows = []
@@ -184,8 +260,7 @@ def test_repeated_blocks_keep_near_copies_together(spark):
         block, rest = words(k, 0, 450), words(k, 450, 450)
         for i, text in enumerate((" ".join([block] * 100) + " " + rest, block + " " + rest)):
             rows.append((2 * k + i, text + " " + words(k, 1000 * (i + 1), 108 if i else 104), "en", "s", 1, "x", 1, 1))
-    got = {r.doc_id: r.class_id for r in op4_minhash.classes(frame(spark, rows)).collect()}
-    assert got == {k: k // 2 * 2 for k in range(40)} == jaccard_classes(rows)
+    assert classes_of(spark, rows) == jaccard_classes(rows) == collections.Counter((k, k // 2 * 2) for k in range(40))
 
 
 def test_probminhash_estimates_probability_jaccard():
@@ -210,6 +285,29 @@ def test_shingles_of_long_texts_do_not_depend_on_runs(monkeypatch, rows):
 # 5
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    p = op5_langid.Profiler()
+    codes = [int(p.codes[ord(c)]) for c in "aāбж的亄侄傄"]
+    assert len(set(codes)) == 8 and p.codes[ord("A")] == p.codes[ord("a")] and p.codes[ord("1")] == 0
+    v = p.letters(np.array(codes)).astype(int)
+    near = np.abs(v @ v.T - op5_langid.DIMENSIONS * np.eye(8)).max()
+    assert near < 200 and np.array_equal(v[0], op5_langid.Profiler().letters(np.array(codes[:1]))[0])
+
+
+def test_many_languages_and_scripts(spark):
+    r, rows, langs = random.Random(4), [], {}
+    for k in range(90):  # each language has letters of its own within a script that all share
+        langs[f"l{k:02}"] = [chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(30)]
+    for i in range(900):
+        lang = f"l{i % 90:02}"
+        rows.append((i, " ".join("".join(r.choice(langs[lang]) for _ in range(4)) for _ in range(40)), lang, "s", 0, "", 0, 0))
+    rows += [(r[0], "ж" * 400, "l00", "s", 0, "", 0, 0) for r in rows[:5]]
+    got = {x.doc_id: x.lang_pred for x in op5_langid.identify(frame(spark, rows[:900])).collect()}
+    assert sum(got[i] == f"l{i % 90:02}" for i in range(900)) > 890
+    kept = op5_langid.accepted(frame(spark, rows[:900] + [(2000, "123", "l00", "s", 0, "", 0, 0), (2001, rows[3][1], None, "s", 0, "", 0, 0)])).collect()
+    assert len(kept) == 901 and next(x for x in kept if x.doc_id == 2001).lang == "l03"
+
+
 def test_language_identification(spark):
     r = random.Random(2)
     made = {"en": "the of and ing tion er th".split(), "de": "der und ung sch ein ver keit".split(), "fr": "le les eau ou ment qui é".split()}
