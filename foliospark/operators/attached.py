@@ -1,22 +1,26 @@
-"""Attachments, output intents and identification of archival levels. Results are unverified."""
+"""Attachments, output intents and identification of archival levels. Results are unverified.
+
+Attachments are three tables: mentions (where a document names a file specification), files (each specification once)
+and labels (the name tree). They are read by one pass each, joined by reference, and written back.
+"""
 
 from __future__ import annotations
 
 import mimetypes
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 from xml.sax.saxutils import escape
 
 from foliospark.pdf.model import Document, Name, PdfError, Ref, Stream, Text
 
-from .archive import PDFAID, Level, annotations
+from .archive import PDFAID, Level, annotations, walk
 from .usage import device_families, starts
 
 # Classes and spaces of profiles that may state an output, and their channels.
 PROFILE_CLASSES = {b"mntr", b"prtr"}
 PROFILE_SPACES = {b"GRAY": ("Gray", 1), b"RGB ": ("RGB", 3), b"CMYK": ("CMYK", 4)}
 MOST_PROFILE = 64 << 20
-NAMED = 64
 XMP = {b"Title": "dc:title", b"Author": "dc:creator", b"Subject": "dc:description", b"Keywords": "pdf:Keywords", b"Creator": "xmp:CreatorTool", b"Producer": "pdf:Producer"}
 
 
@@ -59,92 +63,92 @@ def set_output_intent(doc: Document, profile: bytes, rgb: bytes | None = None) -
 
 
 def name_tree(doc: Document, root: Any) -> Iterator[tuple[bytes, Any]]:
-    """Names and values of a tree; a node that comes again is passed over."""
-    todo, seen = [root], set()
-    while todo:
-        r = todo.pop()
-        d = doc.deref(r)
-        if not isinstance(d, dict) or isinstance(r, Ref) and r in seen or len(seen) > 100_000:
-            continue
-        seen.add(r if isinstance(r, Ref) else None)
-        pairs = doc.get(d, b"Names")
-        if isinstance(pairs, list):
-            for k, v in zip(pairs[::2], pairs[1::2]):
-                if isinstance(k := doc.deref(k), bytes):
-                    yield bytes(k), v
-        kids = doc.get(d, b"Kids")
-        todo += reversed(kids) if isinstance(kids, list) else []
-
-
-def _holders(doc: Document) -> Iterator[dict]:
-    for v in list(doc.objects.values()):
-        d = v.dict if isinstance(v, Stream) else v
-        if isinstance(d, dict) and b"AF" in d:
-            yield d
-
-
-def file_specifications(doc: Document) -> dict[Ref, dict]:
-    """Specifications with files, from the name tree, associations and annotations, each once; direct ones get numbers."""
-    out: dict[Ref, dict] = {}
-
-    def take(value: Any) -> Any:
-        d = doc.deref(value)
-        if not isinstance(d, dict) or b"EF" not in d:
-            return value
-        r = value if isinstance(value, Ref) else _new(doc, d)
-        out.setdefault(r, d)
-        return r
+    """Names and values of a tree, in the order of its leaves; a node that comes again is passed over."""
+    for node in walk(doc, [root], lambda d: list(doc.get(d, b"Kids") or [])):
+        leaves = doc.get(node, b"Names")
+        if isinstance(leaves, list):
+            names = (doc.deref(x) for x in leaves[::2])
+            yield from ((bytes(k), v) for k, v in zip(names, leaves[1::2]) if isinstance(k, bytes))
 
-    names = doc.get(doc.root, b"Names")
-    if isinstance(names, dict) and b"EmbeddedFiles" in names:
-        listed = [(k, take(v)) for k, v in name_tree(doc, names[b"EmbeddedFiles"])]
-        names[b"EmbeddedFiles"] = _flat_tree(dict(listed))
-    for d in _holders(doc):
-        files = doc.deref(d[b"AF"])
-        d[b"AF"] = [take(x) for x in files] if isinstance(files, list) else [take(d[b"AF"])]
-    for d in annotations(doc):
-        if doc.name(d, b"Subtype") == b"FileAttachment" and b"FS" in d:
-            d[b"FS"] = take(d[b"FS"])
-    return out
 
+@dataclass
+class Mention:
+    """A place that names a file specification: a leaf of the name tree, an association, or an annotation."""
+
+    by: str
+    holder: dict
+    label: bytes
+    value: Any
 
-def _flat_tree(values: dict[bytes, Any]) -> dict[bytes, Any]:
-    return {b"Names": [x for k in sorted(values) for x in (Text(k), values[k])]}
+
+def mentions(doc: Document) -> list[Mention]:
+    names = doc.get(doc.root, b"Names")
+    tree = names.get(b"EmbeddedFiles") if isinstance(names, dict) else None
+    out = [Mention("label", names, k, v) for k, v in name_tree(doc, tree)] if tree is not None else []
+    for value in doc.objects.values():
+        holder = value.dict if isinstance(value, Stream) else value
+        if isinstance(holder, dict) and b"AF" in holder:
+            given = doc.deref(holder[b"AF"])
+            out += [Mention("association", holder, b"", x) for x in (given if isinstance(given, list) else [holder[b"AF"]])]
+    out += [Mention("annotation", d, b"", d[b"FS"]) for d in annotations(doc) if doc.name(d, b"Subtype") == b"FileAttachment" and b"FS" in d]
+    return out
 
 
-def repair_attachments(doc: Document, level: Level) -> int:
-    """Names, kinds and relations of attached files as the level wants them; how many there are."""
-    specs = file_specifications(doc)
-    if not specs:
+def file_table(doc: Document) -> tuple[dict[Ref, dict], list[Mention]]:
+    """Specifications that hold files, each once, and their mentions; a direct specification becomes an object."""
+    files: dict[Ref, dict] = {}
+    numbers: dict[int, Ref] = {}
+    told = mentions(doc)
+    for m in told:
+        spec = doc.deref(m.value)
+        if isinstance(spec, dict) and b"EF" in spec:
+            if not isinstance(m.value, Ref):
+                m.value = numbers[id(spec)] = numbers.get(id(spec)) or _new(doc, spec)
+            files[m.value] = spec
+    return files, told
+
+
+def _title(doc: Document, spec: dict, number: int) -> bytes:
+    """The file's own name: the Unicode one, else the other, else one of its number."""
+    strings = [v for k in (b"UF", b"F") if isinstance(v := doc.get(spec, k), bytes) and not isinstance(v, Name)]
+    return strings[0] if strings else Text(b"file %d" % number)
+
+
+def settle_attachments(doc: Document, level: Level) -> int:
+    """Names, kinds and relations of attached files as ISO 19005 wants them at a level; how many there are."""
+    files, told = file_table(doc)
+    if files and level.attachments == "refused":
+        raise PdfError(f"the level allows no attachment that isn't archival itself, and there are {len(files)}; strip attachments")
+    if not files:
         return 0
-    if level.attachments == "refused":
-        raise PdfError(f"{len(specs)} attachments, of which the level allows none that isn't archival itself; strip attachments")
+    titles = {r: _title(doc, spec, i) for i, (r, spec) in enumerate(files.items(), 1)}
+    for r, spec in files.items():
+        spec |= {b"F": titles[r], b"UF": titles[r], b"AFRelationship": spec.get(b"AFRelationship", Name(b"Unspecified"))}
+        guess = mimetypes.guess_type(bytes(titles[r]).decode("latin-1"))[0] or "application/octet-stream"
+        streams = [s for s in map(doc.deref, (doc.get(spec, b"EF") or {}).values()) if isinstance(s, Stream)]
+        for s in streams:
+            s.dict[b"Subtype"] = s.dict.get(b"Subtype", Name(guess.encode()))
+    labels = {m.label: m.value for m in told if m.by == "label"}
+    listed = {v for v in labels.values() if isinstance(v, Ref)}
+    for r in (r for r in files if r not in listed):
+        free = (k for i in range(len(labels) + 2) if (k := bytes(titles[r]) + (b" %d" % (i + 1) if i else b"")) not in labels)
+        labels[next(free)] = r
+    tree = {b"Names": [x for k in sorted(labels) for x in (Text(k), labels[k])]}
     names = doc.get(doc.root, b"Names")
-    if not isinstance(names, dict):
-        names = doc.root[b"Names"] = {}
-    listed = dict(name_tree(doc, names.get(b"EmbeddedFiles")))
-    for i, (r, d) in enumerate(specs.items(), 1):
-        given = next((v for k in (b"UF", b"F") if isinstance(v := doc.get(d, k), bytes) and not isinstance(v, Name)), Text(b"attachment-%d" % i))
-        d[b"F"] = d[b"UF"] = given
-        d.setdefault(b"AFRelationship", Name(b"Unspecified"))
-        kind = mimetypes.guess_type(bytes(given).decode("latin-1"))[0] or "application/octet-stream"
-        for s in (doc.get(d, b"EF") or {}).values():
-            if isinstance(s := doc.deref(s), Stream):
-                s.dict.setdefault(b"Subtype", Name(kind.encode()))
-        if r not in listed.values():
-            key = bytes(given)
-            while key in listed:
-                key += b" (copy)"
-            listed[key] = r
-    names[b"EmbeddedFiles"] = _flat_tree(listed)
-    if level.attachments == "associated":
-        for d in annotations(doc):
-            if doc.name(d, b"Subtype") == b"FileAttachment" and d.get(b"FS") in specs and d[b"FS"] not in (d.get(b"AF") or []):
-                d[b"AF"] = [*(d.get(b"AF") or []), d[b"FS"]]
-        known = {r for d in [*_holders(doc), *annotations(doc)] for r in d.get(b"AF") or []}
-        if loose := [r for r in specs if r not in known]:
-            doc.root[b"AF"] = [*(doc.root.get(b"AF") or []), *loose]
-    return len(specs)
+    doc.root[b"Names"] = (names if isinstance(names, dict) else {}) | {b"EmbeddedFiles": tree}
+    linked: dict[int, tuple[dict, list]] = {}
+    for m in told:
+        if m.by == "association":
+            linked.setdefault(id(m.holder), (m.holder, []))[1].append(m.value)
+        elif m.by == "annotation":
+            m.holder[b"FS"] = m.value
+            if level.attachments == "associated" and isinstance(m.value, Ref) and m.value in files:
+                linked.setdefault(id(m.holder), (m.holder, []))[1].append(m.value)
+    if level.attachments == "associated" and (loose := sorted(files.keys() - {r for _, rs in linked.values() for r in rs if isinstance(r, Ref)})):
+        linked.setdefault(id(doc.root), (doc.root, []))[1].extend(loose)
+    for holder, values in linked.values():
+        holder[b"AF"] = [v for i, v in enumerate(values) if v not in values[:i]]
+    return len(files)
 
 
 def _unicode(value: Any) -> str:

@@ -48,16 +48,16 @@ FILES = [
 
 def test_attachments():
     doc = load(pdf(FILES))
-    assert attached.repair_attachments(doc, archive.LEVELS["3b"]) == 2
+    assert attached.settle_attachments(doc, archive.LEVELS["3b"]) == 2
     tree = dict(attached.name_tree(doc, doc.get(doc.root, b"Names")[b"EmbeddedFiles"]))
-    assert sorted(tree) == [b"a", b"a (copy)"] and tree[b"a (copy)"] == Ref(7, 0)
+    assert sorted(tree) == [b"a", b"a 2"] and tree[b"a 2"] == Ref(7, 0)
     note = doc.deref(tree[b"a"])
     assert note[b"UF"] == b"note.txt" and note[b"AFRelationship"] == b"Unspecified" and doc.objects[Ref(5, 0)].dict[b"Subtype"] == b"text/plain"
     assert doc.root[b"AF"] == [tree[b"a"]] and doc.objects[Ref(6, 0)][b"AF"] == [Ref(7, 0)]
-    assert attached.repair_attachments(load(write(doc)), archive.LEVELS["4"]) == 2
+    assert attached.settle_attachments(load(write(doc)), archive.LEVELS["4"]) == 2
     with pytest.raises(PdfError):
-        attached.repair_attachments(load(pdf(FILES)), archive.LEVELS["2b"])
-    assert attached.repair_attachments(load(pdf([*page(), stream(b"", b"")])), archive.LEVELS["2b"]) == 0
+        attached.settle_attachments(load(pdf(FILES)), archive.LEVELS["2b"])
+    assert attached.settle_attachments(load(pdf([*page(), stream(b"", b"")])), archive.LEVELS["2b"]) == 0
 
 
 @pytest.mark.parametrize(("level", "files", "flavour"), [("2b", False, "2b"), ("3b", True, "3b"), ("4", False, "4"), ("4", True, "4f")])
