@@ -64,8 +64,8 @@ WITH RECURSIVE edges AS (
   SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
   UNION ALL SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 5) FROM region),
-seen(node) AS (SELECT 'c7' UNION SELECT e.dst FROM seen s JOIN edges e ON e.src = s.node)
-SELECT node FROM seen""")
+seen(root, node) AS (SELECT c_custkey, 'c' || c_custkey FROM customer UNION SELECT s.root, e.dst FROM seen s JOIN edges e ON e.src = s.node)
+SELECT root, node FROM seen""")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = (
@@ -73,7 +73,8 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(read(spark, sf_dir, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey")))
         .union(read(spark, sf_dir, "region").select(name("r", "r_regionkey"), F.concat(F.lit("n"), (F.col("r_regionkey") * 5).cast("string"))))
     )
-    return R.reachable(edges, spark.createDataFrame([("c7",)], "node string"))
+    roots = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), name("c", "c_custkey").alias("node"))
+    return R.reachable(edges, roots, ["root"])
 
 
 @kernel("""
@@ -215,9 +216,11 @@ def subset_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("programs"), F.count_distinct("p_type").alias("types")).where("types > 1")
 
 
-@kernel("SELECT doc_id, sha256(unhex(digits || CASE WHEN length(digits) % 2 = 1 THEN '0' ELSE '' END)) AS digest FROM (SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 1, 101) AS digits FROM documents)")
+@kernel("SELECT doc_id, sha256(unhex(digits || CASE WHEN length(digits) % 2 = 1 THEN '0' ELSE '' END)) AS digest FROM (SELECT doc_id, left(digits, CAST(length(digits) - (doc_id % 2) AS BIGINT)) AS digits FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents))")
 def hex_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = F.regexp_replace(F.substring(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 1, 101), "(.{16})", "$1 \n")
+    whole = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    odd = F.left(whole, (F.length(whole) - F.col("doc_id") % 2).cast("int"))  # every other text lacks its last digit
+    broken = F.regexp_replace(odd, "(.{16})", "$1 \n")
     digits = F.regexp_replace(F.split_part(F.concat(broken, F.lit(">junk")), F.lit(">"), F.lit(1)), "[\\s\\x00]", "")
     padded = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.unhex(padded), 256).alias("digest"))
@@ -289,22 +292,22 @@ _ANCESTORS = "SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey //
 
 @kernel(f"""
 WITH RECURSIVE nodes AS ({_ANCESTORS}), up AS (SELECT id, parent, value, 0 AS depth FROM nodes
-  UNION ALL SELECT up.id, n.parent, n.value, depth + 1 FROM up JOIN nodes n ON n.id = up.parent WHERE up.value IS NULL AND depth < 12)
+  UNION ALL SELECT up.id, n.parent, n.value, depth + 1 FROM up JOIN nodes n ON n.id = up.parent WHERE up.value IS NULL AND depth < 63)
 SELECT id, max(value) AS value FROM up GROUP BY id""")
 def inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     nodes = read(spark, sf_dir, "customer").select(c.alias("id"), F.when(c > 1, F.floor(c / 3)).alias("parent"), F.when(c % 10 == 0, c).alias("value"))
-    return R.nearest(nodes, 12)
+    return R.nearest(nodes)
 
 
 @kernel("""
 WITH RECURSIVE links AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey + 1 END AS next, CASE WHEN c_custkey % 8 = 0 THEN c_custkey * 10 END AS value FROM customer),
-walk AS (SELECT id, next, value, 1 AS hop FROM links UNION ALL SELECT w.id, l.next, l.value, hop + 1 FROM walk w JOIN links l ON l.id = w.next WHERE hop < 6)
+walk AS (SELECT id, next, value, 1 AS hop FROM links UNION ALL SELECT w.id, l.next, l.value, hop + 1 FROM walk w JOIN links l ON l.id = w.next WHERE hop < 32)
 SELECT id, max(value) AS value FROM walk GROUP BY id""")
 def deref_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     links = read(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 8 != 0, c + 1).alias("next"), F.when(c % 8 == 0, c * 10).alias("value"))
-    return R.follow(links, links.select("id"), 6)
+    return R.follow(links, links.select("id"))
 
 
 @kernel("SELECT p_partkey, w, h, CASE WHEN w > 2147483648 // (c * b) THEN NULL WHEN h > 268435456 // ((w * c * b + 7) // 8) THEN NULL ELSE (w * c * b + 7) // 8 * h END AS bytes FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * p_size * 1000 + 1 AS w, CAST(p_partkey AS BIGINT) * 7 + 1 AS h, 1 + p_partkey % 4 AS c, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 8 ELSE 16 END AS b FROM part)")
@@ -440,10 +443,9 @@ def affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (a * 2 + b * 3 + 5).alias("x"), (a * 4 - b + 7).alias("y"), F.lit(2 * -1 - 3 * 4).alias("det"))
 
 
-@kernel("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS ordinal FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100")
+@kernel("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS ordinal FROM events")
 def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id").orderBy("event_id").limit(100)
-    return first.select("event_id", F.row_number().over(Window.orderBy("event_id")).cast("long").alias("ordinal"))
+    return R.ordinals(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
 
 
 @kernel("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'")

@@ -10,32 +10,60 @@ from functools import reduce
 from tempfile import mkdtemp
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of an iteration with a table in spark.checkpoint.dir; in a folder of its own where that is unset."""
-    conf = df.sparkSession.conf
-    root = conf.get("spark.checkpoint.dir", None) or conf.get("foliospark.test.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that the driver and all executors share: below spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; a cluster is refused, as its executors share none.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("foliospark.local.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = mkdtemp(prefix="foliospark-")
-        conf.set("foliospark.test.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid4().hex}"
+        spark.conf.set("foliospark.local.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def _written(df: DataFrame) -> str:
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of an iteration with a table in the shared folder."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has them in fewer partitions (few large row groups) than there are cores.
+
+    Partitions are counted from the files' own row counts; no column is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.groupBy(F.spark_partition_id().alias("part")).count().agg(F.count("*").alias("parts"), F.sum("count").alias("rows")).first()
+    return df.repartition(2 * cores) if held["parts"] < cores and (held["rows"] or 0) > cores else df
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, node: what edges (keys, src, dst) lead to from roots (keys, node). Cycles end, each round adds new nodes only."""
-    keys = list(keys)
-    seen = frontier = cut(roots.select(*keys, "node").distinct())
+    """keys, node: what edges (src, dst, and those of the keys that tell edges apart) lead to from roots (keys, node).
+    Cycles end.
+
+    Each round writes the nodes that it finds and no others; what is known is all that rounds have written.
+    """
+    keys, spark = list(keys), edges.sparkSession
+    start = roots.select(*keys, "node").distinct()
+    parts = [_written(start)]
     while True:
-        step = frontier.join(edges, [*(frontier[k] == edges[k] for k in keys), frontier["node"] == edges["src"]]).select(*(frontier[k] for k in keys), F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, [*keys, "node"], "left_anti"))
-        if not frontier.limit(1).count():
-            return seen
-        seen = cut(seen.union(frontier))
+        frontier, known = (spark.read.schema(start.schema).parquet(*some) for some in (parts[-1:], parts))
+        step = frontier.join(edges, [*(frontier[k] == edges[k] for k in keys if k in edges.columns), frontier["node"] == edges["src"]]).select(*(frontier[k] for k in keys), F.col("dst").alias("node")).distinct()
+        parts.append(_written(step.join(known, [*keys, "node"], "left_anti")))
+        if not spark.read.schema(start.schema).parquet(parts[-1]).limit(1).count():
+            return known
 
 
 def dangling(edges: DataFrame, objects: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -43,22 +71,36 @@ def dangling(edges: DataFrame, objects: DataFrame, on: Sequence[str]) -> DataFra
     return edges.join(objects.select(*on).distinct(), list(on), "left_anti")
 
 
-def follow(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+def _doubled(links: DataFrame, reach: int) -> DataFrame:
+    """id, at, value over links of these columns (at: the next): the first value among `reach` successive nodes from id
+    on. Each round doubles the nodes that an entry looks past, so there are few joins; reach is a power of two."""
+    now = links.select("id", "at", "value")
+    for _ in range(reach.bit_length() - 1):
+        past = now.select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("value").alias("further"))
+        now = now.join(past, "at", "left").select("id", F.col("beyond").alias("at"), F.coalesce("value", "further").alias("value"))
+    return now
+
+
+def follow(links: DataFrame, start: DataFrame, hops: int = 32) -> DataFrame:
     """id, value: the end of each start's chain through links (id, next, value); null if missing or beyond hops."""
-    now = start.select("id", F.col("id").alias("at"), F.lit(None).cast("long").alias("value"))
-    step = links.select(F.col("id").alias("at"), "next", F.col("value").alias("v"))
-    for _ in range(hops):
-        now = now.join(step, "at", "left").select("id", F.when(F.col("value").isNull(), F.col("next")).alias("at"), F.coalesce("value", "v").alias("value"))
-    return now.select("id", "value")
-
-
-def nearest(nodes: DataFrame, depth: int) -> DataFrame:
-    """id, value: an entry's value at the node or its nearest ancestor, over nodes (id, parent, value)."""
-    now = nodes.select("id", F.col("parent").alias("at"), "value")
-    up = nodes.select(F.col("id").alias("at"), F.col("parent").alias("above"), F.col("value").alias("v"))
-    for _ in range(depth):
-        now = now.join(up, "at", "left").select("id", F.when(F.col("value").isNull(), F.col("above")).alias("at"), F.coalesce("value", "v").alias("value"))
-    return now.select("id", "value")
+    ends = _doubled(links.select("id", F.col("next").alias("at"), "value"), hops)
+    return start.select("id").join(ends.select("id", "value"), "id", "left")
+
+
+def nearest(nodes: DataFrame, depth: int = 64) -> DataFrame:
+    """id, value: an entry's value at the node or its nearest ancestor, over nodes (id, parent, value); depth nodes are
+    looked at."""
+    return _doubled(nodes.select("id", F.col("parent").alias("at"), "value"), depth).select("id", "value")
+
+
+def ordinals(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """Adds the place of each row from 1 in the order of a column: rows are dealt by range, numbered within their part,
+    and moved on by the counts of the parts before; only the counts meet in one task."""
+    held = cut(df.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    count = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")).alias("past"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return held.withColumn(name, own.cast("long")).join(F.broadcast(count), "part").withColumn(name, F.col(name) + F.col("past")).drop("part", "past")
 
 
 def smallest(candidates: DataFrame, by: Sequence[str], size: str, rank: str, what: str) -> DataFrame:

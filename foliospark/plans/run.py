@@ -1,24 +1,27 @@
-"""A run over files: list, reserve destinations, compress in tasks, publish in input order, report."""
+"""A run over files: list, reserve destinations, compress and publish in tasks, report in input order."""
 
 from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from typing import TextIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators import extraction
+from foliospark.operators.inline import externalize
+from foliospark.operators.relational import cut
 from foliospark.pdf.model import PdfError
+from foliospark.pdf.reader import load
 from foliospark.sources import files
 
 from . import legacy, pipeline
 from .options import DEFAULTS, OptionError, Options, load_profiles, parse_bool, parse_int, read_password, resolve, runnable, save_profile
 
-#: Documents that come to the driver at a time to be published; results are bytes of whole files.
-PUBLISH = 32
 #: Passwords come from files only.
 SECRETS = {"password-file": "password", "encrypt-user-file": "encrypt_user", "encrypt-owner-file": "encrypt_owner"}
 SHORT = {"o": "outputs", "output": "outputs", "mono-dpi": "mono_dpi", "convert-fonts-cff": "cff_fonts"}
@@ -41,54 +44,76 @@ def run(spark: SparkSession, inputs: Iterable[str], options: Options, out: TextI
     rows = read.select("ordinal", "mtime", F.col("error").alias("unread")).join(done, "ordinal", "left")
     line = pipeline.report_line(F.col("target"), F.col("before"), F.col("after"), options.required_output, options.images)
     named = spark.createDataFrame(list(enumerate(targets)), "ordinal long, target string")
-    failures = []
-    for r in in_order(rows.join(named, "ordinal").withColumn("line", line)):
-        why = r["unread"] or r["error"]
-        if not why:
+    ready = rows.join(named, "ordinal").select("ordinal", F.coalesce("unread", "error").alias("error"), "output", "target", F.col("mtime") if options.timestamps == "preserve" else F.lit(None).cast("double"), line.alias("line"))
+    return _told(_published(ready), paths, out)
+
+
+def _published(ready: DataFrame) -> DataFrame:
+    """ordinal, line, error of results (ordinal, error, output, target, mtime, line), which the tasks write to their
+    targets; no content comes to the driver. A task that runs again finds its own file, and that is no error."""
+
+    def work(row: dict) -> Iterator[dict]:
+        if not row["error"]:
             try:
-                files.publish(bytes(r["output"]), r["target"], r["mtime"] if options.timestamps == "preserve" else None)
-                print(r["line"], file=out)
-                continue
-            except PdfError as e:
-                why = str(e)
-        failures.append(f"{paths[r['ordinal']]}: {why}")
-    return failures
+                files.publish(row["output"], row["target"], row["mtime"], again=True)
+            except (PdfError, OSError) as e:
+                row["error"] = str(e)
+        yield {k: row[k] for k in ("ordinal", "line", "error")}
 
+    return ready.mapInArrow(pipeline.batches(["ordinal", "line", "error"], [pa.int64(), pa.string(), pa.string()], work, 64), "ordinal long, line string, error string")
 
-def in_order(rows: DataFrame):
-    """Rows by ordinal, some at a time, each computed once: results wait in the shared folder, not on the driver."""
-    from foliospark.operators.relational import cut
 
-    held = cut(rows)
-    n = held.agg(F.max("ordinal")).first()[0]
-    for first in range(0, (n if n is not None else -1) + 1, PUBLISH):
-        yield from held.where((F.col("ordinal") >= first) & (F.col("ordinal") < first + PUBLISH)).orderBy("ordinal").collect()
+def _told(done: DataFrame, paths: list[str], out: TextIO) -> list[str]:
+    """Prints the lines in input order and returns the failures; rows of a line each come some at a time."""
+    failures = []
+    for r in cut(done).orderBy("ordinal").toLocalIterator():
+        if r["error"]:
+            failures.append(f"{paths[r['ordinal']]}: {r['error']}")
+        else:
+            print(r["line"], file=out)
+    return failures
 
 
 def extract(spark: SparkSession, paths: list[str], options: Options, out: TextIO) -> list[str]:
-    """Text to NAME.txt, images to a new folder NAME-images."""
-    failures = []
-    for path in paths:
-        read = files.read_files(spark, [path])
-        stem = os.path.splitext(path)[0]
-        target = options.outputs[0] if options.outputs else stem + (".txt" if options.extract == "text" else "-images")
+    """Text to NAME.txt, images to a new folder NAME-images; the tasks write them."""
+    kind, inline = options.extract, options.inline_images
+    named, failures, taken = [], [], set()
+    for i, path in enumerate(paths):
+        wanted = options.outputs[0] if options.outputs else os.path.splitext(path)[0] + (".txt" if kind == "text" else "-images")
         try:
-            target = files.free_name(target, options.collision, set())
-            if (bad := read.first()["error"]) is not None:
-                raise PdfError(bad)
-            rows = (pipeline.extract_text(read).orderBy("page_no") if options.extract == "text" else pipeline.extract_images(read, options.inline_images)).collect()
-            if bad := next((r["error"] for r in rows if r["error"]), None):
-                raise PdfError(bad)
-            if options.extract == "text":
-                files.publish("".join(r["text"] + "\f" for r in rows).encode(), target)
-            else:
-                os.mkdir(target, 0o700)
-                for r in sorted(rows, key=lambda r: r["name"]):
-                    files.publish(bytes(r["data"]), os.path.join(target, r["name"]))
-            print(f"{target}: {len(rows)} {'pages' if options.extract == 'text' else 'images'}", file=out)
+            target = files.free_name(wanted, options.collision, taken)
         except PdfError as e:
             failures.append(f"{path}: {e}")
-    return failures
+            continue
+        taken.add(target)
+        named.append((i, target))
+    if not named:
+        return failures
+
+    def work(row: dict) -> Iterator[dict]:
+        n, error = 0, row["error"]
+        try:
+            if not error:
+                doc = load(row["content"])
+                if kind == "text":
+                    pages = [extraction.page_text(doc, p) for p in doc.pages()]
+                    files.publish("".join(t + "\f" for t in pages).encode(), row["target"], again=True)
+                    n = len(pages)
+                else:
+                    if inline:
+                        externalize(doc)
+                    made = list(extraction.images(doc))
+                    os.makedirs(row["target"], 0o700, exist_ok=True)
+                    for name, data in made:
+                        files.publish(data, os.path.join(row["target"], name), again=True)
+                    n = len(made)
+        except (PdfError, OSError) as e:
+            error = str(e)
+        yield {"ordinal": row["ordinal"], "line": f"{row['target']}: {n} {'pages' if kind == 'text' else 'images'}", "error": error}
+
+    read = files.read_files(spark, paths).select("ordinal", "content", "error").join(spark.createDataFrame(named, "ordinal long, target string"), "ordinal")
+    done = read.mapInArrow(pipeline.batches(["ordinal", "line", "error"], [pa.int64(), pa.string(), pa.string()], work, 64), "ordinal long, line string, error string")
+    return failures + _told(done, paths, out)
 
 
 def parse_arguments(arguments: list[str]) -> tuple[dict[str, object], list[str], dict[str, object]]:

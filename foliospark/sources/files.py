@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from foliospark.pdf.model import PdfError
 
 MAGIC = b"%PDF-"
 LARGEST_U32 = (1 << 32) - 1
+#: Files that a task reads, together.
+TASK_BYTES = 128 << 20
 
 
 #: What stands before .pdf in the names of outputs.
@@ -83,7 +86,8 @@ def read_files(spark: SparkSession, inputs: Iterable[str], recursive: bool = Fal
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     frame = spark.createDataFrame(rows, "doc_id string, ordinal long, path string, relative string")
-    slices = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
+    size = sum(os.stat(r[0]).st_size if os.path.isfile(r[0]) else 0 for r in rows)
+    slices = min(len(rows), max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     return frame.repartition(slices, F.col("ordinal")).mapInArrow(run, "doc_id string, ordinal long, path string, relative string, length long, mtime double, content binary, error string")
 
 
@@ -122,9 +126,12 @@ def reserve(paths: Iterable[str], outputs: tuple[str, ...], collision: str) -> l
     return out
 
 
-def publish(data: bytes, path: str, mtime: float | None = None) -> None:
-    """Writes next to the destination and links it there; an existing file is never replaced."""
-    stage = f"{path}.{os.getpid()}.part"
+def publish(data: bytes, path: str, mtime: float | None = None, again: bool = False) -> None:
+    """Writes next to the destination and links it there; an existing file is never replaced.
+
+    again: a file of the same bytes counts as published, as by a task that ran before and was lost.
+    """
+    stage = f"{path}.{uuid4().hex}.part"
     try:
         with os.fdopen(os.open(stage, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
             f.write(data)
@@ -134,7 +141,8 @@ def publish(data: bytes, path: str, mtime: float | None = None) -> None:
             os.utime(stage, (mtime, mtime))
         os.link(stage, path)
     except FileExistsError:
-        raise PdfError(f"{path}: already exists") from None
+        if not (again and os.path.isfile(path) and Path(path).read_bytes() == data):
+            raise PdfError(f"{path}: already exists") from None
     finally:
         if os.path.exists(stage):
             os.unlink(stage)
