@@ -7,9 +7,12 @@ import re
 from dataclasses import dataclass
 
 # HTML elements by how they break text or hide it, and which open elements a start tag ends.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none mprescripts semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noframes xmp svg math select object canvas audio video".split())
+#: What stands in these is no markup, and ends with the page if nothing else ends it.
+RAW = set("script style textarea title iframe noframes xmp".split())
+#: What stands in these isn't text of the page; where the end tag is missing, only the start tag goes.
+ASIDE = set("noscript template svg select object canvas audio video annotation annotation-xml".split())
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}, "body": {"head"},
@@ -56,6 +59,7 @@ def blocks(page: str | None) -> list[Block]:
     path: list[str] = []  # the same with names
     parts: list[str] = []
     linked, links, at, end, where = 0, 0, 0, len(page), ()
+    open_ended: set[str] = set()  # tags whose end tag doesn't come any more
 
     def flush() -> None:
         nonlocal linked
@@ -109,12 +113,18 @@ def blocks(page: str | None) -> list[Block]:
                     k = len(stack) - 1 - stack[::-1].index(t)
                     if not any(x in SCOPE and x != t and x != "body" for x in stack[k + 1 :]):
                         close(k)
-        if tag in RAW:
-            if not attributes.endswith("/"):
+        if tag in RAW or tag in ASIDE:
+            last = None
+            if not attributes.endswith("/") and tag not in open_ended:
                 last = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-                at = last.end() if last else end
-                if last and at < end and page[at - 1] != ">":
+                if not last:
+                    open_ended.add(tag)
+            if last:
+                at = last.end()
+                if at < end and page[at - 1] != ">":
                     at = (page.find(">", at) + 1) or end
+            elif tag in RAW and not attributes.endswith("/"):
+                at = end
             continue
         if tag in VOID or attributes.endswith("/") and tag not in ("p", "div", "a", "span", "li"):
             continue

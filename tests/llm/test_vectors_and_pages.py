@@ -6,6 +6,8 @@ import pytest
 from foliospark.llm import op1_vafile, op6_html
 from foliospark.llm.html_blocks import blocks
 
+from .pages import PAGES
+
 
 def brute(vectors, k=10):
     ok = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
@@ -42,17 +44,43 @@ def test_top_k_of_an_empty_table(spark):
     assert op1_vafile.top_k(df, F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_cells_never_understate():
+def test_repeated_queries_and_vectors_are_ranked_each(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4).round(1)]) for i in range(32)]
+    rows = [rows[0], *rows[:16], rows[0], *rows[16:], *[(500 + i, [9.0] * 4) for i in range(40)], *[(77, [9.0] * 4)] * 12]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = op1_vafile.top_k(df, F.col("vec_id").isin(0, 77)).collect()
+    found = {q: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) for q in (0, 77)}
+    vectors = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    for q, copies in ((0, 3), (77, 12)):
+        x = next(v for i, v in vectors if i == q)
+        best = sorted((-int(x @ v), i) for i, v in vectors if i != q)[:10]
+        assert found[q] == sorted((n + 1, i, -s) for n, (s, i) in enumerate(best) for _ in range(copies))
+
+
+@pytest.mark.parametrize("scale", [3000, 2**24])
+def test_cells_never_understate(scale):
     rng = np.random.default_rng(0)
-    x, q = rng.integers(-3000, 3000, (500, 8)), rng.integers(-3000, 3000, (20, 8))
-    assert (op1_vafile.Cells(x.astype(float)).upper(q.astype(float)) >= q @ x.T).all()
+    x, q = rng.integers(-scale, scale, (500, 64)), rng.integers(-scale, scale, (20, 64))
+    x[:250] = x[250:] * np.where(np.arange(64) % 2, 1, -1)  # sums that cancel out
+    lower, upper = op1_vafile.Cells.of(x).bounds(q.astype(float))
+    assert (lower <= q @ x.T).all() and (upper >= q @ x.T).all()
 
 
-def test_search_reads_few_exact_vectors():
+def test_few_exact_vectors_are_left_by_the_bounds():
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(4000, 8)) * 1024).astype(np.int64)
-    read = op1_vafile.search_block(np.arange(20), x[:20], np.arange(4000), x, 10, op1_vafile.Cells(x.astype(float)))[3]
-    assert read < 20 * 400
+    asked = op1_vafile.Asked(np.arange(20), np.arange(20), x[:20], 10)
+    for i in range(0, 4000, 1000):
+        asked.meet(np.arange(i, i + 1000), np.arange(i, i + 1000), np.zeros(1000, bool), op1_vafile.Cells.of(x[i : i + 1000]))
+    row, node, _, upper = asked.left()
+    assert len(row) < 20 * 400
+    for q in range(20):
+        score = x @ x[q]
+        score[q] = -(2**60)
+        assert {*np.argsort(-score)[:10].tolist()} <= {*node[row == q].tolist()}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -80,6 +108,19 @@ def test_blocks_of_broken_pages():
     assert [b.text for b in blocks("<div>a<div>b</div>c</div><ul><li>x<ul><li>y</ul><li>z</ul>")] == ["a", "b", "c", "x", "y", "z"]
     assert [b.text for b in blocks("1 < 2 &lt;3 <!-- x")] == ["1 < 2 <3"]
     assert blocks("<p>" * 3000 + "x")[0].text == "x"
+    for tag in "audio video object canvas svg select noscript template".split():
+        assert [b.text for b in blocks(f"<p>a</p><{tag} id=x><p>after</p><{tag}>b")] == ["a", "after", "b"]
+        assert [b.text for b in blocks(f"<p>a</p><{tag}>within</{tag}><p>after</p>")] == ["a", "after"]
+    assert [b.text for b in blocks("<p>a</p><script>x <p>after</p>")] == ["a"]
+    assert [b.text for b in blocks("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p>")] == ["so a=1 holds"]
+    assert blocks("<audio>" * 20_000 + "x")[0].text == "x"
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(name):
+    page, want = PAGES[name]
+    got = op6_html.main_text(op6_html.trained(), page)
+    assert got == " ".join(want.split())
 
 
 def test_held_out_layouts():
