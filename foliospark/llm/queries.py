@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,16 @@ from pyspark.sql import functions as F
 from . import op1_vafile, op2_tokens, op3_licenses, op4_minhash, op5_langid, op6_html, op7_repeats, op8_wordbpe, op9_quality, op10_packing
 from .common import table
 
-#: Folder of the public tokenizer files; never copied here.
-TOKENIZERS = os.environ.get("FOLIOSPARK_TOKENIZERS", "/opt/tokenizers")
-
 # The pattern that splits text before the merges of the rank files, and their free id.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50256
 
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """The place of a public tokenizer file; the driver reads it and broadcasts what the tasks need."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_vafile_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

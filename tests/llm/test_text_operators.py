@@ -516,15 +516,24 @@ def test_quality_counts_and_verdicts(spark, rows):
     assert op9_quality.quality(empty(spark)).count() == 0
 
 
-def test_languages_without_reference_pass_the_distance_rules(spark):
+def test_every_language_has_a_reference(spark):
     r = random.Random(13)
     other = lambda cs: " ".join("".join(r.choice(cs) for _ in range(r.randint(2, 8))) for _ in range(300))
-    usual = " ".join(r.choice(op9_quality.COMMON_WORDS["en"] + ["house", "water", "green"]) for _ in range(400))
-    polish, cyrillic = other("bcdfghjklmnprstwz"), other("абвгдежзиклмнопрст")
-    texts = [(1, usual, "en"), (2, polish, "pl"), (3, cyrillic, "ru"), (4, cyrillic, None), (5, "too short", "pl")]
-    rows = [(k, t, lang, "s", 1, "", 0, 0) for k, t, lang in texts] + [(10 + i, usual, "en", "s", 1, "", 0, 0) for i in range(9)]
-    assert {x.doc_id for x in op9_quality.accepted(frame(spark, rows)).collect() if x.doc_id < 10} == {1, 2, 3}
-    assert {x.doc_id for x in op9_quality.quality(frame(spark, rows)).collect() if x.kept and x.doc_id < 10} == {1, 2, 3}
+    usual = lambda: " ".join(r.choice(op9_quality.COMMON_WORDS["en"] + ["house", "water", "green"]) for _ in range(400))
+    polish, cyrillic, chinese = "bcdfghjklmnprstwz", "абвгдежзиклмнопрст", "的一是不了人我在有他这"
+    texts = [(1, usual(), "en"), (2, other(polish), "pl"), (3, other(cyrillic), "ru"), (4, other(cyrillic), None), (5, "too short", "pl"), (6, other(chinese), "zh"), (7, other("0123456789"), None), (8, other("0123456789"), "xx")]
+    rows = [(k, t, lang, "s", 1, "", 0, 0) for k, t, lang in texts] + [(10 + i, usual(), "en", "s", 1, "", 0, 0) for i in range(9)]
+    kept = lambda rows: {x.doc_id for x in op9_quality.quality(frame(spark, rows)).collect() if x.kept and x.doc_id < 10}
+    # without a reference the base rules alone judge; 7 has no letters, as if ASCII
+    assert kept(rows) == {1, 2, 3, 4, 6, 8}
+    more = [(100 + i, other(cyrillic), "ru", "s", 1, "", 0, 0) for i in range(9)] + [(200, " ".join("ж*#" for _ in range(300)), "ru", "s", 1, "", 0, 0)]
+    assert kept(rows + more) == {1, 2, 3, 4, 6, 8}
+    got = op9_quality.quality(frame(spark, rows + more)).withColumns({c: F.round(c, 6) for c in ("char_js", "word_js")}).collect()
+    assert not next(x for x in got if x.doc_id == 200).kept and sum(x.char_js is not None for x in got) == len(got)
+    assert sql_rows(op9_quality.oracle(), documents=frame(spark, rows + more).toPandas()) == sorted(map(tuple, got))
+    names = "doc_id long, text string, lang string, Features string, f int"
+    clash = op9_quality.accepted(spark.createDataFrame([(1, usual(), "en", "a", 1), (2, "x", "en", "b", 2)], names)).collect()
+    assert [(x.doc_id, x.Features, x.f) for x in clash] == [(1, "a", 1)]
 
 
 def test_quality_distance(spark):
@@ -600,3 +609,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(left)
     spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+# the registered queries
+
+
+@needs_tokenizers
+def test_registered_queries(spark, rows, tmp_path):
+    """Every query over small tables, against its SQL where it has one."""
+    import duckdb
+
+    r = np.random.default_rng(2)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)], 1) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "u", f"<html><body><nav><a href=x>m</a></nav><article><p>Words of page {i}, and more of them.</p></article></body></html>") for i in range(5)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    count = {"documents": len(rows), "embeddings": 30, "pages": 5}
+    expected = {"op1_vafile_top_k": count["embeddings"], "op6_crf_main_text": 5}
+    con = duckdb.connect()
+    for name in count:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, query in queries.queries().items():
+        got = query(spark, str(tmp_path))
+        found = got.collect()
+        if name == "op10_packing_cost":
+            assert {x.doc_id for x in found} == {x[0] for x in rows}
+        else:
+            assert len(found) == expected.get(name, len(rows)), name
+        if sql := queries.oracle_sql().get(name):
+            want = con.execute(sql)
+            assert sorted(got.columns) == sorted(x[0] for x in want.description), name
+            order = [got.columns.index(x[0]) for x in want.description]
+            assert sorted(tuple(x[i] for i in order) for x in found) == sorted(want.fetchall()), name
