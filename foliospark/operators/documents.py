@@ -60,22 +60,36 @@ def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.extract_images(files(spark, sf_dir)).select("doc_id", "name", stored.alias("stored_sha256"), "error")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images)}
+def pdf_font_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs that each font program of a document must keep."""
+    return pipeline.font_glyphs(files(spark, sf_dir)).select("doc_id", "num", "name", F.array_join("glyphs", ",").alias("glyphs"))
+
+
+def pdf_font_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines that font programs keep in compressed documents, and the text that their pages still show."""
+    done = pipeline.compress_files(files(spark, sf_dir), resolve({"subset_fonts": True, "merge_fonts": True})).select("doc_id", F.col("output").alias("content"))
+    return pipeline.font_outlines(done)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images, pdf_font_glyphs, pdf_font_subsets)}
 
 # What sources.tables.made_pdf lays out, stated by SQL: the lines of a text, its pages, what cp1252 can't write.
 _ID = "CAST(doc_id AS VARCHAR) AS doc_id"
 _LAID_OUT = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
 n AS (SELECT *, (len(lines) + {tables.PAGE_LINES - 1}) // {tables.PAGE_LINES} AS pages FROM d), p AS (SELECT *, unnest(range(pages)) AS k FROM n)"""
 _CP1252 = "[^\\x{0}-\\x{7F}\\x{A0}-\\x{FF}" + bytes(c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252") + "]"
-_OBJECTS = [("Dictionary", "'Catalog'", "1"), ("Dictionary", "'Pages'", "1"), ("Dictionary", "'Font'", "1"), ("Stream", "'XObject'", "2"), ("Dictionary", "'Page'", "pages"), ("Stream", "NULL", "2 * pages")]
+_OBJECTS = [("Dictionary", "'Catalog'", "1"), ("Dictionary", "'Pages'", "1"), ("Dictionary", "'Font'", "3"), ("Dictionary", "'FontDescriptor'", "1"), ("Stream", "'XObject'", "2"), ("Dictionary", "'Page'", "pages"), ("Stream", "NULL", "2 * pages + 2")]
+_USED = "list_distinct(list_transform(string_split('Document ' || doc_id, ''), lambda c: ascii(c) - 31))"
 SQL = {
     "pdf_objects": f"WITH {_LAID_OUT} " + " UNION ALL ".join(f"SELECT {_ID}, '{kind}' AS kind, {type_} AS type, CAST({count} AS BIGINT) AS objects FROM n" for kind, type_, count in _OBJECTS),
-    "pdf_pages": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, CAST(7 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen FROM p",
-    "pdf_in_use": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(unnest(list_filter(range(1, 7 + 3 * pages), lambda x: x <> 6)) AS INTEGER) AS node FROM n",
+    "pdf_pages": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, CAST(12 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen FROM p",
+    "pdf_in_use": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(unnest(list_filter(range(1, 12 + 3 * pages), lambda x: x <> 6)) AS INTEGER) AS node FROM n",
     "pdf_stream_duplicates": f"""WITH {_LAID_OUT}, b AS (SELECT doc_id, coalesce(min(k) FILTER (WHERE (doc_id + k) % 3 = 0), 0) AS best FROM p GROUP BY doc_id)
-SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, CAST(8 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen, CAST(8 + 3 * best AS INTEGER) AS to_num, CAST(0 AS INTEGER) AS to_gen FROM p JOIN b ON b.doc_id = p.doc_id WHERE k <> best""",
+SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, CAST(13 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen, CAST(13 + 3 * best AS INTEGER) AS to_num, CAST(0 AS INTEGER) AS to_gen FROM p JOIN b ON b.doc_id = p.doc_id WHERE k <> best""",
     "pdf_text": f"""WITH {_LAID_OUT}, t AS (SELECT doc_id, k, 'Document ' || doc_id || chr(10) || array_to_string(list_transform(lines[{tables.PAGE_LINES} * k + 1 : {tables.PAGE_LINES} * (k + 1)],
   lambda x: regexp_replace(x, '{_CP1252}', '?', 'g') || chr(10)), '') AS shown FROM p)
 SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, sha256(shown) AS text_sha256, CAST(length(shown) AS INTEGER) AS chars FROM t""",
+    "pdf_font_glyphs": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(10 AS INTEGER) AS num, 'Made' AS name, array_to_string(list_sort({_USED}), ',') AS glyphs FROM n",
+    "pdf_font_subsets": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(len({_USED}) - CASE WHEN list_contains({_USED}, 0) THEN 1 ELSE 0 END AS BIGINT) AS outlines, sha256('Document ' || doc_id) AS heading_sha256 FROM n",
     "pdf_images": f"WITH {_LAID_OUT} SELECT {_ID}, 'image-000004.png' AS name, NULL AS stored_sha256, CAST(NULL AS VARCHAR) AS error FROM n UNION ALL SELECT {_ID}, 'image-000005.jpx', sha256('jpx ' || text), NULL FROM n",
 }
