@@ -277,9 +277,10 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     small = kept.where(f"size <= {SMALL}").select("key", "node")
     other = small.select("key", F.col("node").alias("leader"))
     pairs = star.select("node", "leader").union(small.join(other, "key").where(F.col("node") < F.col("leader")).select("node", "leader"))
-    large = kept.where(f"size > {SMALL}").select("key", "node")
-    turn = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.get("bands", F.pmod(F.array_position("bands", F.col("key")).cast("int") - 1 + i, F.size("bands"))))
-    parts = large.join(nodes.select("node", "bands"), "node").select("node", F.explode(F.transform(turn, lambda k: F.xxhash64(k, F.col("key")))).alias("part"))
+    # by node, so that joins see each node of a large family once and not once for each of its buckets
+    large = kept.where(f"size > {SMALL}").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    turn = lambda key: F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.xxhash64(F.get("bands", F.pmod(F.array_position("bands", key).cast("int") - 1 + i, F.size("bands"))), key))
+    parts = large.join(nodes.select("node", "bands"), "node").select("node", F.explode(F.flatten(F.transform("keys", turn))).alias("part"))
     tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "node")).alias("m")).where("size > 1")
     met = parts.join(tops.select("part", F.col("m.node").alias("leader")), "part").where(F.col("node") != F.col("leader"))
     pairs = pairs.union(met.select("node", "leader")).select(*_pair("node", "leader")).distinct()
@@ -290,7 +291,7 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     merged = components(new).select(F.col("id").alias("root"), F.col("class_id").alias("top"))
     reps = contents.join(found.withColumnRenamed("id", "node"), "node", "left").select("content", "least", "node", F.coalesce("root", "node").alias("root"))
     reps = materialize(reps.join(merged, "root", "left").select("content", "least", "node", F.coalesce("top", "root").alias("top")), "classes")
-    late = components(last_links(large.select("key", "node").join(reps.select("node", "top"), "node"), sets, threshold))
+    late = components(last_links(large.join(reps.select("node", "top"), "node").select(F.explode("keys").alias("key"), "node", "top"), sets, threshold))
     reps = reps.join(late.select(F.col("id").alias("top"), F.col("class_id").alias("joined")), "top", "left").select("content", "least", F.coalesce("joined", "top").alias("top"))
     reps = materialize(reps, "classes")
     least = reps.groupBy("top").agg(F.min("least").alias("class_id"))
