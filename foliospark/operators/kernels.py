@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.plans import tools
+
 from . import relational as R
 
 #: name -> (query, equal SQL)
@@ -169,13 +171,7 @@ def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     out = F.when(e % 4 == 0, "compliant").when(e % 4 == 1, "rejected").when(e % 4 == 2, "failed").otherwise("missing")
     rows = read(spark, sf_dir, "events").select("event_id", F.when(e % 5 == 0, "").otherwise("2b").alias("flavour"), (e % 2 == 0).alias("converted"), out.alias("out"), F.when(e % 3 == 0, "compliant").when(e % 3 == 1, "rejected").otherwise("failed").alias("inp"))
-    return rows.select("event_id", verdict(F.col("flavour"), F.col("converted"), F.col("out"), F.col("inp")).alias("decision"))
-
-
-def verdict(flavour, converted, output, source):
-    """publish, warn (publish with a warning) or error, of the checks of an output and its input."""
-    unconverted = F.when(output == "missing", "warn").when(output == "failed", "error").when(source == "rejected", "warn").otherwise("error")
-    return F.when((flavour == "") | (output == "compliant"), "publish").when(converted, "error").otherwise(unconverted)
+    return rows.select("event_id", tools.decision(F.col("flavour"), F.col("converted"), F.col("out"), F.col("inp")).alias("decision"))
 
 
 # Families of clauses, longest prefix first.
@@ -448,6 +444,12 @@ def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordinals(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
 
 
+@kernel("SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r?\\n$', ''), chr(10)), lambda l: source || '/' || doc_id || '.pdf: ' || regexp_replace(l, '\\r$', '')), chr(10)) AS lines FROM documents")
+def prefixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return read(spark, sf_dir, "documents").select("doc_id", tools.prefixed(path, F.coalesce("text", F.lit(""))).alias("lines"))
+
+
 @kernel("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'")
 def signed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").startswith("1")).select("o_custkey").distinct()
