@@ -71,21 +71,57 @@ def pdf_font_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.font_outlines(done)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images, pdf_font_glyphs, pdf_font_subsets)}
+def _audited(fact: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pipeline.audit(files(spark, sf_dir)).where(F.col("fact") == fact).select("doc_id", "at", "value")
+
+    return query
+
+
+def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the headings' contents behind their filters."""
+    return _audited("stream")(spark, sf_dir).where("at >= 24 and (at - 25) % 3 = 0")
+
+
+#: What an audit of the documents says, a query for each kind of fact.
+FACTS = {f"pdf_{name}": _audited(fact) for name, fact in {"flavours": "flavour", "signatures": "signed", "outlines": "outline", "colors": "colors", "annotations": "annotation", "forbidden": "forbidden", "bare_annotations": "bare", "boxes": "box", "placements": "placement", "titles": "title", "repairs": "repair", "errors": "error"}.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images, pdf_font_glyphs, pdf_font_subsets, pdf_streams)} | FACTS
 
 # What sources.tables.made_pdf lays out, stated by SQL: the lines of a text, its pages, what cp1252 can't write.
 _ID = "CAST(doc_id AS VARCHAR) AS doc_id"
 _LAID_OUT = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
 n AS (SELECT *, (len(lines) + {tables.PAGE_LINES - 1}) // {tables.PAGE_LINES} AS pages FROM d), p AS (SELECT *, unnest(range(pages)) AS k FROM n)"""
 _CP1252 = "[^\\x{0}-\\x{7F}\\x{A0}-\\x{FF}" + bytes(c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)).decode("cp1252") + "]"
-_OBJECTS = [("Dictionary", "'Catalog'", "1"), ("Dictionary", "'Pages'", "1"), ("Dictionary", "'Font'", "3"), ("Dictionary", "'FontDescriptor'", "1"), ("Stream", "'XObject'", "2"), ("Dictionary", "'Page'", "pages"), ("Stream", "NULL", "2 * pages + 2")]
+_OBJECTS = [("Dictionary", "'Catalog'", "1"), ("Dictionary", "'Pages'", "1"), ("Dictionary", "'Font'", "3"), ("Dictionary", "'FontDescriptor'", "1"), ("Dictionary", "NULL", "11"), ("Stream", "'Metadata'", "1"), ("Stream", "'XObject'", "2"), ("Dictionary", "'Page'", "pages"), ("Stream", "NULL", "2 * pages + 2")]
 _USED = "list_distinct(list_transform(string_split('Document ' || doc_id, ''), lambda c: ascii(c) - 31))"
-SQL = {
+_HEADING = "'BT /F2 10 Tf' || chr(10) || '<' || array_to_string(list_transform(string_split('Document ' || doc_id, ''), lambda c: printf('%04X', ascii(c) - 31)), '') || '> Tj T*' || chr(10) || 'ET'"
+
+
+def _fact(value: str, at: str = "NULL", where: str = "true", of: str = "n") -> str:
+    return f"SELECT {_ID}, CAST({at} AS BIGINT) AS at, {value} AS value FROM {of} WHERE {where}"
+
+
+_FACTS = {
+    "pdf_flavours": _fact("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '2b' WHEN 2 THEN '4' ELSE '3a' END"),
+    "pdf_signatures": _fact("CASE WHEN doc_id % 7 = 0 THEN 'true' ELSE 'false' END"),
+    "pdf_outlines": _fact("''", "3"),
+    "pdf_colors": _fact("CASE WHEN doc_id % 11 = 0 THEN 'CMYK ' ELSE '' END || CASE WHEN doc_id % 2 = 1 THEN 'Gray RGB' ELSE 'Gray' END"),
+    "pdf_annotations": " UNION ALL ".join(_fact(f"'{v}'", str(i)) for i, v in enumerate(("links", "annotations", "annotations"))),
+    "pdf_forbidden": _fact("'actions: outline item: Launch action'", "0", "doc_id % 5 = 0") + " UNION ALL " + _fact("'hidden: Square annotation: hidden'", "CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END", "doc_id % 3 = 0"),
+    "pdf_bare_annotations": _fact("'Square'", "0"),
+    "pdf_boxes": _fact("CASE WHEN k % 2 = 1 THEN '0 0 300 400' ELSE '0 0 612 792' END", "k", of="p"),
+    "pdf_placements": _fact("'0 0 1 1 ' || printf('%g', 64 / (1 + doc_id % 4)) || ' 32'", "4") + " UNION ALL " + _fact("'0 0 1 1 72 72'", "5"),
+    "pdf_streams": _fact(f"sha256({_HEADING})", "25 + 3 * k", of="p"),
+    "pdf_titles": _fact("'Document ' || doc_id"),
+    "pdf_repairs": _fact("'presentation steps'", "pages // 2", "pages > 1"),
+    "pdf_errors": _fact("''", where="false"),
+}
+SQL = {k: f"WITH {_LAID_OUT} {v}" for k, v in _FACTS.items()} | {
     "pdf_objects": f"WITH {_LAID_OUT} " + " UNION ALL ".join(f"SELECT {_ID}, '{kind}' AS kind, {type_} AS type, CAST({count} AS BIGINT) AS objects FROM n" for kind, type_, count in _OBJECTS),
-    "pdf_pages": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, CAST(12 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen FROM p",
-    "pdf_in_use": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(unnest(list_filter(range(1, 12 + 3 * pages), lambda x: x <> 6)) AS INTEGER) AS node FROM n",
+    "pdf_pages": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, CAST(24 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen FROM p",
+    "pdf_in_use": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(unnest(list_filter(range(1, 24 + 3 * pages), lambda x: x <> 6)) AS INTEGER) AS node FROM n",
     "pdf_stream_duplicates": f"""WITH {_LAID_OUT}, b AS (SELECT doc_id, coalesce(min(k) FILTER (WHERE (doc_id + k) % 3 = 0), 0) AS best FROM p GROUP BY doc_id)
-SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, CAST(13 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen, CAST(13 + 3 * best AS INTEGER) AS to_num, CAST(0 AS INTEGER) AS to_gen FROM p JOIN b ON b.doc_id = p.doc_id WHERE k <> best""",
+SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, CAST(25 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen, CAST(25 + 3 * best AS INTEGER) AS to_num, CAST(0 AS INTEGER) AS to_gen FROM p JOIN b ON b.doc_id = p.doc_id WHERE k <> best""",
     "pdf_text": f"""WITH {_LAID_OUT}, t AS (SELECT doc_id, k, 'Document ' || doc_id || chr(10) || array_to_string(list_transform(lines[{tables.PAGE_LINES} * k + 1 : {tables.PAGE_LINES} * (k + 1)],
   lambda x: regexp_replace(x, '{_CP1252}', '?', 'g') || chr(10)), '') AS shown FROM p)
 SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, sha256(shown) AS text_sha256, CAST(length(shown) AS INTEGER) AS chars FROM t""",
