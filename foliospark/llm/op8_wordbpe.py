@@ -3,7 +3,7 @@
 Defined cases: null and empty texts have no ids and decode to the empty text; a special token's string inside
 a text is that token's id; texts of any length are encoded whole, in runs cut at white space, where no word
 and no normalisation crosses; repeated rows are encoded each; an empty table gives no rows; extra columns of
-the input are ignored.
+the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
