@@ -71,6 +71,12 @@ def pdf_font_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.font_outlines(done)
 
 
+def pdf_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a trial run over all documents ended; every thirteenth file is broken."""
+    broken = F.when(F.col("ordinal") % 13 == 0, F.lit(b"%PDF-1.7\nbroken")).otherwise(F.col("content"))
+    return pipeline.tally(pipeline.outcomes(files(spark, sf_dir).withColumn("content", broken), resolve({"strip": ("piece-info",)})))
+
+
 def _audited(fact: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pipeline.audit(files(spark, sf_dir)).where(F.col("fact") == fact).select("doc_id", "at", "value")
@@ -85,7 +91,7 @@ def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What an audit of the documents says, a query for each kind of fact.
 FACTS = {f"pdf_{name}": _audited(fact) for name, fact in {"flavours": "flavour", "signatures": "signed", "outlines": "outline", "colors": "colors", "annotations": "annotation", "forbidden": "forbidden", "bare_annotations": "bare", "boxes": "box", "placements": "placement", "titles": "title", "repairs": "repair", "errors": "error"}.items()}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images, pdf_font_glyphs, pdf_font_subsets, pdf_streams)} | FACTS
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pdf_objects, pdf_pages, pdf_in_use, pdf_stream_duplicates, pdf_compress, pdf_image_decisions, pdf_text, pdf_images, pdf_font_glyphs, pdf_font_subsets, pdf_streams, pdf_outcomes)} | FACTS
 
 # What sources.tables.made_pdf lays out, stated by SQL: the lines of a text, its pages, what cp1252 can't write.
 _ID = "CAST(doc_id AS VARCHAR) AS doc_id"
@@ -117,6 +123,7 @@ _FACTS = {
     "pdf_errors": _fact("''", where="false"),
 }
 SQL = {k: f"WITH {_LAID_OUT} {v}" for k, v in _FACTS.items()} | {
+    "pdf_outcomes": f"WITH {_LAID_OUT} SELECT CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'smaller' END AS outcome, CASE WHEN doc_id % 13 = 0 THEN 'no cross-reference table' ELSE '' END AS detail, count(*) AS files FROM n GROUP BY 1, 2",
     "pdf_objects": f"WITH {_LAID_OUT} " + " UNION ALL ".join(f"SELECT {_ID}, '{kind}' AS kind, {type_} AS type, CAST({count} AS BIGINT) AS objects FROM n" for kind, type_, count in _OBJECTS),
     "pdf_pages": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(k + 1 AS INTEGER) AS page_no, CAST(24 + 3 * k AS INTEGER) AS num, CAST(0 AS INTEGER) AS gen FROM p",
     "pdf_in_use": f"WITH {_LAID_OUT} SELECT {_ID}, CAST(unnest(list_filter(range(1, 24 + 3 * pages), lambda x: x <> 6)) AS INTEGER) AS node FROM n",
