@@ -83,3 +83,27 @@ GEOMETRY = (
 )
 
 PAGES = {"wiki": WIKI, "blog": BLOG, "news": NEWS, "manual": MANUAL, "old": OLD, "geometry": GEOMETRY}
+
+# written after the made layouts were final
+
+FORUM = (
+    """<!DOCTYPE html><html itemscope itemtype="https://schema.org/QAPage" class="html__responsive"><head><title>linux - How do I find large files? - Server Answers</title></head><body class="question-page unified-theme">
+<div id="notify-container"></div><header class="s-topbar ps-fixed t0 l0 js-top-bar"><div class="s-topbar--container"><a href="#" class="s-topbar--menu-btn js-left-sidebar-toggle"><span></span></a><a href="https://x" class="s-topbar--logo js-gps-track"><span class="-img _glyph">Server Answers</span></a><ol class="s-navigation"><li><a href="/about" class="s-navigation--item">About</a></li></ol><form id="search" role="search" class="s-topbar--searchbar js-searchbar"><input name="q" type="text" placeholder="Search…"></form></div></header>
+<div class="container"><div id="left-sidebar" class="left-sidebar js-pinned-left-sidebar ps-relative"><nav role="navigation"><ol class="nav-links"><li><a href="/" class="nav-links--link">Home</a></li><li><a href="/questions" class="nav-links--link">Questions</a></li><li><a href="/tags" class="nav-links--link">Tags</a></li></ol></nav></div>
+<div id="content" class="snippet-hidden"><div itemprop="mainEntity" itemscope><div id="question-header" class="d-flex sm:fd-column"><h1 itemprop="name" class="fs-headline1 ow-break-word mb8 flex--item fl1"><a href="/q/1" class="question-hyperlink">How do I find large files?</a></h1></div>
+<div id="mainbar" role="main" aria-label="question and answers"><div class="question js-question" id="question"><div class="post-layout"><div class="postcell post-layout--right"><div class="s-prose js-post-body" itemprop="text"><p>My disk is nearly full, and I would like to know which files take the most space. The server has no graphical tools.</p><p>I tried <code>ls -l</code>, but that shows one directory at a time only.</p></div></div></div></div></div></div></div></div>
+<footer id="footer" class="site-footer js-footer" role="contentinfo"><div class="site-footer--container"><nav class="site-footer--nav"><div class="site-footer--col"><h5 class="-title"><a href="/x">Server Answers</a></h5><ul class="-list js-primary-footer-links"><li class="-item"><a href="/tour" class="-link">Tour</a></li><li class="-item"><a href="/help" class="-link">Help</a></li></ul></div></nav><div class="site-footer--copyright fs-fine"><p class="md:mb0">Site design / logo © 2024; user contributions licensed under a free licence.</p></div></div></footer></body></html>""",
+    "How do I find large files? My disk is nearly full, and I would like to know which files take the most space. The server has no graphical tools. I tried ls -l, but that shows one directory at a time only.",
+)
+PRESS = (
+    """<!DOCTYPE html><html lang="fr"><head><title>Communiqué</title></head><body><nav class="skip"><ul><li><a href="#c">Aller au contenu</a></li></ul></nav><div class="banner" role="banner"><div class="banner__inner"><p class="banner__name">Ministère des Eaux</p></div></div><div class="menu-bar"><ul><li><a href="/a">Le ministère</a></li><li><a href="/b">Actualités</a></li><li><a href="/c">Services</a></li></ul></div><div class="breadcrumb"><a href="/">Accueil</a> &gt; <a href="/b">Actualités</a> &gt; Communiqué</div>
+<div id="c" class="grid"><div class="grid__main"><h1>Un plan pour les rivières</h1><p class="date">Publié le 4 mars 2024</p><p class="chapo">Le gouvernement présente un plan de cinq ans pour la qualité des rivières, avec les régions et les communes.</p><h2>Trois mesures</h2><ol><li>Des contrôles plus fréquents des rejets.</li><li>Une aide aux petites stations d'épuration.</li><li>Un suivi public, mis à jour chaque mois.</li></ol><p>Le ministre a remercié les associations qui ont participé à la préparation du texte.</p><div class="share"><p>Partager cette page</p><ul><li><a href="x">Courriel</a></li><li><a href="y">Réseaux</a></li></ul></div></div>
+<div class="grid__side"><div class="box box--contact"><h3>Contact presse</h3><p>Service de presse, du lundi au vendredi, de 9 h à 18 h.</p></div></div></div><div class="footer"><p>Mentions légales - Accessibilité : partiellement conforme - Plan du site</p></div></body></html>""",
+    "Un plan pour les rivières Publié le 4 mars 2024 Le gouvernement présente un plan de cinq ans pour la qualité des rivières, avec les régions et les communes. Trois mesures Des contrôles plus fréquents des rejets. Une aide aux petites stations d'épuration. Un suivi public, mis à jour chaque mois. Le ministre a remercié les associations qui ont participé à la préparation du texte.",
+)
+SHOP = (
+    """<html><body><div class="topbar"><p>Free delivery from 50 euros, every day of the week.</p></div><header class="shop-header"><a href="/" class="shop-logo">Tea &amp; Pots</a><nav><a href="/tea">Tea</a> <a href="/pots">Pots</a> <a href="/cart">Cart (0)</a></nav></header><main><section class="product"><div class="product__info"><h1 class="product__title">Green tea from the hills</h1><p class="product__text">A light tea with a taste of fresh grass, picked in April and dried on the same day. It is packed by hand in small tins.</p><h2>How to make it</h2><p>Take water of 75 degrees and wait for two minutes. The leaves can be used three times.</p></div><form class="product__order"><label>Amount <select><option>100 g</option><option>250 g</option></select></label><button>Add to cart</button></form></section>
+<section class="product-recommendations"><h2>You may also like</h2><ul><li><a href="/1">Black tea</a></li><li><a href="/2">Iron pot</a></li></ul></section><section class="reviews"><h2>Reviews</h2><div class="review"><p>Best tea I have had in years, I will order it again soon.</p></div></section></main><footer><div class="newsletter"><p>Sign up for our letter and get five percent off your first order.</p></div><p>© Tea &amp; Pots</p></footer></body></html>""",
+    "Green tea from the hills A light tea with a taste of fresh grass, picked in April and dried on the same day. It is packed by hand in small tins. How to make it Take water of 75 degrees and wait for two minutes. The leaves can be used three times.",
+)
+HELD_OUT = {"forum": FORUM, "press": PRESS, "shop": SHOP}
