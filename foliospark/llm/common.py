@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,8 +60,37 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once: whole texts in both processes' buffers.
+ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ROWS rows; a lower setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS, "10000")) <= ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small_batches(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has them in fewer partitions (few large row groups) than there are cores.
+
+    Partitions are counted from the files' own row counts; no column is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.groupBy(F.spark_partition_id().alias("part")).count().agg(F.count("*").alias("parts"), F.sum("count").alias("rows")).first()
+    return df.repartition(2 * cores) if held["parts"] < cores < (held["rows"] or 0) else df
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; called at a task's end, as workers stay for later tasks and other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -68,6 +98,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+    give_back()
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -30,7 +30,7 @@ END_ID = 2
 LINEAR = 1.0
 QUADRATIC = 1.0 / LIMIT
 #: Tokens of the documents that are packed together; bounds a task's memory.
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 2 << 20
 
 
 def capacities(tokens: int, limit: int) -> list[int]:

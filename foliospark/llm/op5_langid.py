@@ -35,11 +35,11 @@ SLOTS = 256
 UNKNOWN = "und"
 #: accepted() rejects documents whose cosine with their language's whole prototype is lower.
 MIN_LIKENESS = 0.2
-#: Bits of a letter's code in a trigram's, letters and trigrams whose vectors a worker remembers (16 and 32 MB).
+#: Bits of a letter's code in a trigram's, letters and trigrams whose vectors a worker remembers (16 and 8 MB).
 BITS = 21
 LETTERS, TRIGRAMS = 1 << 14, 1 << 13
 SEED = 7
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 Model = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -61,7 +61,7 @@ class Profiler:
         self.codes = letter_codes()
         self.letter: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.book = np.empty((TRIGRAMS, DIMENSIONS), np.float32)
+        self.book = np.empty((TRIGRAMS, DIMENSIONS), np.int8)
 
     def letters(self, codes: np.ndarray) -> np.ndarray:
         """The vectors of letters, and of the gap (0)."""
@@ -113,13 +113,13 @@ class Profiler:
                 tri, owner = self.trigrams(part)
                 if len(tri):
                     distinct, which = np.unique(tri, return_inverse=True)
-                    for k in range(0, len(distinct), 1 << 12):
-                        some = slice(k, k + (1 << 12))
-                        here = (which >= k) & (which < k + (1 << 12))
+                    for k in range(0, len(distinct), 1 << 11):
+                        some = slice(k, k + (1 << 11))
+                        here = (which >= k) & (which < k + (1 << 11))
                         width = len(distinct[some])
                         counts = np.bincount(owner[here] * width + which[here] - k, minlength=len(part) * width).reshape(len(part), width).astype(np.float32)
                         rows = self.vectors(distinct[some])
-                        out[i : i + len(part)] += counts @ self.book[rows]
+                        out[i : i + len(part)] += counts @ self.book[rows].astype(np.float32)
             i = j
         return out
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, parts_for, text_bytes
+from .common import fresh, give_back, materialize, parts_for, text_bytes
 from .rlindex import RunLengthIndex
 from .wordbpe import SpanHash
 
@@ -213,6 +213,7 @@ def runs_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                         n = 0
         cut()
         yield flush()
+        give_back()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -321,6 +322,8 @@ def strings_of(asked: DataFrame, row: str, spans: str, buckets: int, length: int
                     yield flush()
                     held = _Strings()
         yield flush()
+        del held
+        give_back()
 
     return asked.mapInArrow(run, SCHEMA)
 
@@ -385,6 +388,8 @@ def index_strings(strings: DataFrame, length: int) -> DataFrame:
         yield from emit(held.spans())
         out = [found(some) for some in groups(held)]
         yield from emit(spans_of(np.concatenate(out)) if out else np.empty(0, SPAN))
+        del held, out
+        give_back()
 
     return strings.mapInArrow(run, "row long, doc long, start long, size long")
 

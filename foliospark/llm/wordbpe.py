@@ -24,7 +24,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Words that a worker remembers between batches; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 LONG_WORD = 48
 
 
