@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import op4_minhash, op5_langid, op7_repeats, op9_quality, op10_packing
-from foliospark.llm.common import materialize, scratch, table
+from foliospark.llm.common import materialize, scratch, small_batches, table
 from foliospark.llm.queries import tokenizer
 
 
@@ -26,21 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It learns from the labelled documents of its input; without any, all documents go.
     """
+    small_batches(spark)
     return op5_langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each class of near-duplicates; rows with a null id all stay."""
+    small_batches(spark)
     return op4_minhash.one_of_each(docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that occur earlier; documents that lose all their text go, those with a null id lose nothing."""
+    small_batches(spark)
     return op7_repeats.without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences; a null or empty text is its end token."""
+    small_batches(spark)
     pieces = op10_packing.pack(docs, tokenizer("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
