@@ -174,9 +174,7 @@ def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", tools.decision(F.col("flavour"), F.col("converted"), F.col("out"), F.col("inp")).alias("decision"))
 
 
-# Families of clauses, longest prefix first.
-CLAUSES = [("6.2.10", "fonts"), ("6.2.11", "fonts"), ("6.2.3", "color"), ("6.2.4", "color"), ("6.2.9", "color"), ("6.2", "graphics"), ("6.3", "annotations"), ("6.4", "forms"), ("6.5", "actions"), ("6.6", "actions or metadata"), ("6.7", "metadata"), ("6.8", "attachments"), ("6.9", "attachments"), ("6.1", "structure"), ("6", "structure")]
-_CLAUSE = "CASE " + " ".join(f"WHEN clause = '{p}' OR starts_with(clause, '{p}.') THEN '{c}'" for p, c in CLAUSES) + " ELSE 'other' END"
+_CLAUSE = "CASE " + " ".join(f"WHEN clause = '{p}' OR starts_with(clause, '{p}.') THEN '{c}'" for p, c in tools.CLAUSES) + " ELSE 'other' END"
 
 
 @kernel(f"SELECT category, count(*) AS failures FROM (SELECT {_CLAUSE} AS category FROM (SELECT (5 + p_partkey % 2) || '.' || (p_size % 11) || '.' || (p_partkey % 13) AS clause FROM part)) GROUP BY category")
@@ -184,8 +182,7 @@ def clause_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     clause = F.concat_ws(".", text(5 + F.col("p_partkey") % 2), text(F.col("p_size") % 11), text(F.col("p_partkey") % 13))
     rows = read(spark, sf_dir, "part").select(clause.alias("clause"))
-    rules = [((F.col("clause") == p) | F.col("clause").startswith(p + "."), c) for p, c in CLAUSES]
-    return rows.groupBy(R.first_reason(rules, "other").alias("category")).agg(F.count("*").alias("failures"))
+    return rows.groupBy(tools.category(F.col("clause")).alias("category")).agg(F.count("*").alias("failures"))
 
 
 @kernel("SELECT event_type AS outcome, user_id % 4 AS detail, count(*) AS files FROM events GROUP BY 1, 2")

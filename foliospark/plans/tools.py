@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.archive import verdicts
-from foliospark.operators.relational import chunks
+from foliospark.operators.relational import chunks, first_reason
 from foliospark.pdf.model import PdfError
 
 from .options import Options
@@ -30,6 +30,9 @@ MOST_OUTPUT = 64 << 20
 MOST_MESSAGES = 64 << 10
 BATCH = 32
 
+# Families of clauses, longest prefix first.
+CLAUSES = [("6.2.10", "fonts"), ("6.2.11", "fonts"), ("6.2.3", "color"), ("6.2.4", "color"), ("6.2.9", "color"), ("6.2", "graphics"), ("6.3", "annotations"), ("6.4", "forms"), ("6.5", "actions"), ("6.6", "actions or metadata"), ("6.7", "metadata"), ("6.8", "attachments"), ("6.9", "attachments"), ("6.1", "structure"), ("6", "structure")]
+
 
 class ToolError(PdfError):
     """A tool that is missing, failed, or took too long."""
@@ -164,3 +167,30 @@ def decision(flavour: Column, converted: Column, output: Column, source: Column)
 def prefixed(path: Column, text: Column) -> Column:
     """Every line of a tool's messages after the file that they are about."""
     return F.array_join(F.transform(F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n"), lambda line: F.concat(path, F.lit(": "), line)), "\n")
+
+
+def category(clause: Column) -> Column:
+    """What a violated clause is about, by the longest family that it belongs to."""
+    return first_reason([((clause == p) | clause.startswith(p + "."), c) for p, c in CLAUSES], "other")
+
+
+def violations(validated: DataFrame) -> DataFrame:
+    """category, clause, files of validate()'s rejections, the most common first."""
+    each = validated.where(F.col("state") == "rejected").select("doc_id", F.explode(F.array_distinct("clauses")).alias("clause"))
+    return each.groupBy(category(F.col("clause")).alias("category"), "clause").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "clause")
+
+
+def font_file(name: str, given: Sequence[str] = (), program: str = "fc-match", seconds: float = 60) -> str | None:
+    """The file of a font by its name: as given by NAME=PATH, else what the system's lookup finds under that very name."""
+    named = dict(g.split("=", 1) for g in given)
+    if name in named:
+        if not os.path.isfile(named[name]):
+            raise ToolError(f"{named[name]}: no such font file")
+        return named[name]
+    try:
+        done = run([program, "--format", "%{family}\n%{file}", name], seconds=seconds)
+    except ToolError:
+        return None
+    family, _, path = done.output.decode("utf-8", "replace").partition("\n")
+    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    return path if done.code == 0 and any(plain(f) == plain(name) for f in family.split(",")) and os.path.isfile(path) else None

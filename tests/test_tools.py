@@ -106,3 +106,15 @@ def test_forms_under_several_resources_are_separated():
     assert [extraction.page_text(doc, p) for p in doc.pages()] == before == ["x\n", "y\n"]
     same = load(pdf([*objects, stream(b"/Subtype/Form/Resources<<>>", b"q Q"), *fonts]))
     assert usage.separate(same) == 0
+
+
+def test_violations_and_font_files(spark, tmp_path):
+    rows = [("a", "rejected", ["6.2.4.1", "6.1", "6.1"]), ("b", "rejected", ["6.1"]), ("c", "compliant", []), ("d", "failed", ["6.9"])]
+    got = tools.violations(spark.createDataFrame(rows, "doc_id string, state string, clauses array<string>")).collect()
+    assert [tuple(r) for r in got] == [("structure", "6.1", 2), ("color", "6.2.4.1", 1)]
+    (tmp_path / "x.ttf").write_bytes(b"font")
+    lookup = script(tmp_path / "lookup", f'printf "Other Sans,Deja Vu\\n{tmp_path}/x.ttf"\n')
+    assert tools.font_file("DejaVu", program=lookup) == f"{tmp_path}/x.ttf" and tools.font_file("Nothing", program=lookup) is None
+    assert tools.font_file("A", [f"A={tmp_path}/x.ttf"]) == f"{tmp_path}/x.ttf" and tools.font_file("A", program="no-such-tool-here") is None
+    with pytest.raises(tools.ToolError):
+        tools.font_file("A", [f"A={tmp_path}/none"])
