@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("foliospark.local.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -39,6 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written there; DataFrames over it can't be read any more."""
+    _delete(spark, shared_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables written within are deleted at the end, but for those taken off the list."""
@@ -46,10 +59,8 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield _SCOPES[-1]
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _SCOPES.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

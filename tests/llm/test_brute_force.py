@@ -185,5 +185,30 @@ def test_probability_jaccard_by_definition(seed):
         assert abs(op4_minhash.probability_jaccard(block(x), block(y)) - want) < 1e-12
 
 
+def test_tables_between_stages_are_deleted(spark):
+    import os
+
+    from foliospark.llm.common import materialize, scratch, shared_root
+
+    with scratch(spark) as written:
+        one, two = materialize(spark.range(5), "one"), materialize(spark.range(7), "two")
+        last = written.pop()
+    assert two.count() == 7 and one.inputFiles() and os.path.isdir(last) and not any(x.startswith("one-") for x in os.listdir(shared_root(spark)))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from foliospark.llm import common
+    from foliospark.operators import relational
+
+    for module, of in ((common, common.shared_root), (relational, relational.shared_folder)):
+        cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: None), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            of(cluster)
+        cluster.conf.get = lambda key, other=None: "/shared/" if key == "spark.checkpoint.dir" else None
+        assert of(cluster) == "/shared/a" and module
+
+
 def test_prose_is_made_alike():
     assert prose(random.Random(1), 5) == prose(random.Random(1), 5)
