@@ -5,8 +5,10 @@ Each works on columns named by its arguments, shuffles on its keys alone, and se
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Sequence
 from functools import reduce
+from shutil import rmtree
 from tempfile import mkdtemp
 from uuid import uuid4
 
@@ -24,10 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = mkdtemp(prefix="foliospark-")
+        atexit.register(rmtree, root, ignore_errors=True)
         spark.conf.set("foliospark.local.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has cut; DataFrames over it can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _written(df: DataFrame) -> str:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid4().hex}"
     df.write.parquet(path)
