@@ -277,12 +277,16 @@ def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     small = kept.where(f"size <= {SMALL}").select("key", "node")
     other = small.select("key", F.col("node").alias("leader"))
     pairs = star.select("node", "leader").union(small.join(other, "key").where(F.col("node") < F.col("leader")).select("node", "leader"))
+    # large buckets whose members are one class by now have no pair left to check
+    rooted = kept.where(f"size > {SMALL}").join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    divided = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     # by node, so that joins see each node of a large family once and not once for each of its buckets
-    large = kept.where(f"size > {SMALL}").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    large = materialize(rooted.join(divided, "key", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys")), "large")
     turn = lambda key: F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda i: F.xxhash64(F.get("bands", F.pmod(F.array_position("bands", key).cast("int") - 1 + i, F.size("bands"))), key))
-    parts = large.join(nodes.select("node", "bands"), "node").select("node", F.explode(F.flatten(F.transform("keys", turn))).alias("part"))
-    tops = parts.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("h"), "node")).alias("m")).where("size > 1")
-    met = parts.join(tops.select("part", F.col("m.node").alias("leader")), "part").where(F.col("node") != F.col("leader"))
+    parts = large.join(nodes.select("node", "bands"), "node").select("node", "root", F.explode(F.flatten(F.transform("keys", turn))).alias("part"))
+    # one leader a part, so a member makes one row a part at most, and none where it shares the leader's class
+    tops = parts.groupBy("part").agg(F.min(F.struct(rank.alias("h"), "node", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    met = parts.join(tops.select("part", F.col("m.node").alias("leader"), F.col("m.root").alias("its")), "part").where(F.col("root") != F.col("its"))
     pairs = pairs.union(met.select("node", "leader")).select(*_pair("node", "leader")).distinct()
     one, two = found.select(F.col("id").alias("a"), F.col("root").alias("c")), found.select(F.col("id").alias("b"), F.col("root").alias("d"))
     apart = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("c", "a").alias("c"), F.coalesce("d", "b").alias("d")).where("c != d")

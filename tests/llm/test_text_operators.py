@@ -640,3 +640,24 @@ def test_registered_queries(spark, rows, tmp_path):
             assert sorted(got.columns) == sorted(x[0] for x in want.description), name
             order = [got.columns.index(x[0]) for x in want.description]
             assert sorted(tuple(x[i] for i in order) for x in found) == sorted(want.fetchall()), name
+
+
+def test_members_of_one_class_do_not_meet_again(spark, monkeypatch):
+    """Near copies that the leaders of their buckets have joined are not dealt into parts; a family that they have not
+    joined still is, and a member makes no more rows there than it has parts."""
+    from foliospark.llm import op4_minhash as op4
+
+    rows, real = {}, op4.materialize
+
+    def counted(df, name):
+        rows[name] = (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(op4, "materialize", counted)
+    copy = lambda k, changed: " ".join(f"x{k}_{i}" if i % 100 < changed else f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(k, copy(k, 1)) for k in range(40)], "doc_id long, text string")
+    assert {r.class_id for r in op4.classes(docs).collect()} == {0}
+    assert rows["buckets"] > op4.SMALL * 40 / 4 and rows["large"] == 0
+    docs = spark.createDataFrame([(k, copy(k, 13)) for k in range(40)], "doc_id long, text string")
+    assert {r.class_id for r in op4.classes(docs).collect()} == set(range(40))
+    assert 0 < rows["large"] <= 40 and rows["apart"] <= 40 * 39 / 2
